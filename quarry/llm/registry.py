@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import bpe, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.query,
+    "op7_bpe": bpe.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
