@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, substring_dedup
+from . import bpe, language_id, quality, substring_dedup, url_filter
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.query,
+    "op4_language_id": language_id.query,
+    "op6_quality_rules": quality.query,
     "op7_bpe": bpe.query,
+    "op10_url_filter": url_filter.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_url_filter": url_filter.ORACLE,
+}
