@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, quality, substring_dedup, url_filter
+from . import bpe, language_id, packing, quality, substring_dedup, topk, url_filter, warc
 
 QUERIES = {
+    "op1_packing": packing.query,
     "op2_substring_dedup": substring_dedup.query,
+    "op3_warc": warc.query,
     "op4_language_id": language_id.query,
     "op6_quality_rules": quality.query,
     "op7_bpe": bpe.query,
+    "op9_topk": topk.query,
     "op10_url_filter": url_filter.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": warc.ORACLE,
+    "op9_topk": topk.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }
