@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, packing, quality, substring_dedup, topk, url_filter, warc
+from . import bpe, language_id, near_dedup, packing, quality, substring_dedup, topk, url_filter, warc
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language_id": language_id.query,
     "op6_quality_rules": quality.query,
     "op7_bpe": bpe.query,
+    "op8_near_dedup": near_dedup.query,
     "op9_topk": topk.query,
     "op10_url_filter": url_filter.query,
 }
