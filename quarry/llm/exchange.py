@@ -84,8 +84,10 @@ def answers(asked: DataFrame, value_type: type, decide: Callable[..., tuple[np.n
         order, starts = grouped(h1, h2)
         keep, answer = decide(value[order], starts)
         chosen = order[keep]
-        block = np.array(table.column("block").to_numpy(), np.int64)[row[chosen]] if len(chosen) else np.zeros(0, np.int64)
-        kind = table.column("kind")[0].as_py() if table.num_rows else 0
+        if not len(chosen):
+            return _ASK.empty_table()
+        block = np.array(table.column("block").to_numpy(), np.int64)[row[chosen]]
+        kind = table.column("kind")[0].as_py()
         answer = answer[keep]
         by = np.argsort(block, kind="stable")
         out, edges = [], np.flatnonzero(np.diff(block[by], prepend=-1))

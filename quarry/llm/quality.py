@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .suffix import common_prefixes, suffix_order
 from .text import _P, _R, BYTE_CODES, Words, buffer_of, mix, range_hash, rows_of
 
 REPEAT_WINDOW = 8
@@ -41,84 +42,10 @@ class Limits:
     max_longest: int = 200
 
 
-def suffix_order(code: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(suffix array, ranks by the first 1, 2, 4, ... words), the suffixes of each document apart.
-
-    doc: the document of each word, ascending; first: each document's first word, and the end.
-    """
-    n = len(code)
-    if not n:
-        return np.zeros(0, np.int64), []
-    _, dense = np.unique(code, return_inverse=True)
-    key = doc.astype(np.int64) * n + dense
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(n, np.int64)
-    head = _heads(key[order])
-    rank[order] = head
-    end = np.asarray(first)[1:][doc]
-    ranks, span = [rank.copy()], 1
-    active = _crowded(head)  # places in `order` whose suffixes still tie with others
-    while len(active):
-        at = order[active]
-        nxt = at + span
-        second = np.where(nxt < end[at], rank[np.minimum(nxt, n - 1)] + 1, 0)
-        key = rank[at] * (n + 1) + second
-        by = np.argsort(key, kind="stable")
-        order[active] = at[by]
-        key = key[by]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        head = active[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-        rank[at[by]] = head
-        ranks.append(rank.copy())
-        active = active[_tied(head)]
-        span *= 2
-    return order, ranks
-
-
-def _heads(key: np.ndarray) -> np.ndarray:
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    return np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-
-
-def _tied(head: np.ndarray) -> np.ndarray:
-    tie = np.zeros(len(head), bool)
-    same = head[1:] == head[:-1]
-    tie[1:] |= same
-    tie[:-1] |= same
-    return tie
-
-
-def _crowded(head: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(_tied(head))
-
-
-def common_prefixes(order: np.ndarray, ranks: list[np.ndarray], end: np.ndarray) -> np.ndarray:
-    """lcp[i]: words that the suffixes order[i - 1] and order[i] share at their beginning; lcp[0] = 0."""
-    n = len(order)
-    out = np.zeros(n + 1, np.int64)
-    if n < 2:
-        return out
-    pair = np.flatnonzero(ranks[0][order[1:]] == ranks[0][order[:-1]]) + 1
-    a, b = order[pair - 1].copy(), order[pair].copy()
-    ea, eb = end[a], end[b]
-    size = np.zeros(len(pair), np.int64)
-    for level in range(len(ranks) - 1, -1, -1):
-        step = 1 << level
-        ok = (a + step <= ea) & (b + step <= eb)
-        ok[ok] = ranks[level][a[ok]] == ranks[level][b[ok]]
-        size[ok] += step
-        a[ok] += step
-        b[ok] += step
-    out[pair] = size
-    return out
-
-
 def longest_repeats(words: Words) -> np.ndarray:
     """For each word, the length of the longest word sequence from it on that its document holds elsewhere too."""
-    order, ranks = suffix_order(words.code, words.doc, words.first)
-    end = words.first[1:][words.doc] if len(order) else np.zeros(0, np.int64)
+    end = words.first[1:][words.doc]
+    order, ranks = suffix_order(words.code, end, words.doc)
     lcp = common_prefixes(order, ranks, end)
     out = np.zeros(len(order), np.int64)
     out[order] = np.maximum(lcp[:-1], lcp[1:]) if len(order) else 0

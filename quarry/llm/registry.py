@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, near_dedup, packing, quality, substring_dedup, topk, url_filter, warc
+from . import bpe, language_id, near_dedup, packing, quality, substring_dedup, suffix_dedup, topk, url_filter, warc
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_substring_dedup": substring_dedup.query,
     "op3_warc": warc.query,
     "op4_language_id": language_id.query,
+    "op5_suffix_dedup": suffix_dedup.query,
     "op6_quality_rules": quality.query,
     "op7_bpe": bpe.query,
     "op8_near_dedup": near_dedup.query,
