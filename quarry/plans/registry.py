@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import columns as C
 from quarry.operators import graph as G
 from quarry.operators import queries as Q
+from quarry.operators import state as K
 from quarry.plans.adapters import Relations, oracle
+from quarry.sources import files as S
+from quarry.sources.languages import LANGUAGES, by_extension
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,3 +117,104 @@ add("g5_call_tree", lambda r: G.call_tree(r.functions, r.deps, first_name(r)), o
 add("g7_graph_statistics", lambda r: G.statistics(r.functions), oracle(
     f"select count(*) as nodes, cast(sum(call_count) as bigint) as total_calls, round(avg(nesting_depth), 6) as avg_nesting, max(nesting_depth) as max_nesting from (select *, row_number() over (partition by {QUALIFIED} order by {TIES}) as k from functions) where k = 1"))
 add("a2_most_calling", lambda r: G.most_calling(r.functions), oracle(f"select {COLUMNS} from functions order by call_count desc, {TIES} limit 10"))
+
+
+# Text functions and sources over documents, pages and file paths
+
+
+def lexed(r: Relations) -> DataFrame:
+    """The scanner's view of pages: parentheses and calls outside strings and comments, a row a page."""
+    import pandas as pd
+
+    def run(frames):
+        from quarry.functions.lex import call_stats
+
+        for frame in frames:
+            stats = [call_stats(x or "") for x in frame.html]
+            yield pd.DataFrame({"page_id": frame.page_id, "call_count": [s.count for s in stats], "callees": [",".join(sorted(s.names)) for s in stats], "depth": [s.depth for s in stats]})
+
+    return r.table("pages").select("page_id", "html").mapInPandas(run, "page_id long, call_count long, callees string, depth long")
+
+
+def decoded(r: Relations) -> DataFrame:
+    """Documents as raw bytes through the decoder: encoding, characters and content hash."""
+    import pandas as pd
+
+    def run(frames):
+        from quarry.functions.hashing import fnv1a
+        from quarry.sources.files import decode
+
+        for frame in frames:
+            rows = [decode(bytes(x or b"")) for x in frame.content]
+            yield pd.DataFrame({"doc_id": frame.doc_id, "encoding": [k for _, k in rows], "n_chars": [len(t or "") for t, _ in rows], "content_hash": [fnv1a((t or "").encode()) for t, _ in rows]})
+
+    return r.table("documents").select("doc_id", F.col("text").cast("binary").alias("content")).mapInPandas(run, "doc_id long, encoding string, n_chars long, content_hash string")
+
+
+def extracted(r: Relations) -> DataFrame:
+    """The scripts of pages as JavaScript files through the parser: functions and globals found in each."""
+    scripts = F.array_join(F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*>(.*?)</script>"), F.lit(1)), "\n")
+    files = r.table("pages").select(F.concat(F.lit("page/"), F.col("page_id").cast("string"), F.lit(".js")).alias("rel_path"), F.lit("javascript").alias("language"), F.lit(0).cast("long").alias("mtime"), scripts.cast("binary").alias("content"))
+    return S.parse(files).select("file_path", F.size("functions").alias("functions"), F.size("globals").alias("globals"), "encoding", F.coalesce("error", F.lit("")).alias("error"))
+
+
+def file_rows(r: Relations) -> DataFrame:
+    """A file listing made from part: paths of several folders and extensions, with sizes and times."""
+    ext = F.element_at(F.array(*map(F.lit, [".go", ".py", ".JS", ".txt", ".erb", ".rs"])), (F.col("p_partkey") % 6 + 1).cast("int"))
+    folder = F.element_at(F.array(*map(F.lit, ["src", "vendor/x", "a/.hidden", "lib/build", "pkg/p%20", "deep/er"])), (F.col("p_partkey") % 7 % 6 + 1).cast("int"))
+    return r.table("part").select(F.concat(folder, F.lit("/f"), F.col("p_partkey").cast("string"), ext).alias("rel_path"), (F.col("p_partkey") * 700).alias("length"), (F.col("p_partkey") % 50).alias("mtime"))
+
+
+FILES = "select list_extract(['src', 'vendor/x', 'a/.hidden', 'lib/build', 'pkg/p%20', 'deep/er'], cast(p_partkey % 7 % 6 + 1 as integer)) || '/f' || cast(p_partkey as varchar) || list_extract(['.go', '.py', '.JS', '.txt', '.erb', '.rs'], cast(p_partkey % 6 + 1 as integer)) as rel_path, p_partkey * 700 as length, p_partkey % 50 as mtime from part"
+KEPT = "not regexp_matches(rel_path, '(^|/)(vendor|build)/') and not regexp_matches(rel_path, '(^|/)[.][^/]*/') and not regexp_matches(rel_path, '%[^/]*/')"
+LANG = "case when ends_with(rel_path, '.go') then 'go' when ends_with(rel_path, '.py') then 'python' when ends_with(rel_path, '.JS') then 'javascript' when ends_with(rel_path, '.erb') then 'erb' when ends_with(rel_path, '.rs') then 'rust' end"
+OLD = "select file_path, name, line_start, body || cast(call_count as varchar) as hash from functions where id % 5 <> 0"
+NEW = "select file_path, name, line_start, case when id % 7 = 0 then 'x' else body || cast(call_count as varchar) end as hash from functions where id % 3 <> 0"
+
+
+def old_and_new(r: Relations) -> tuple[DataFrame, DataFrame]:
+    """Two scans' functions, one row a key: some gone, some new, some changed."""
+    digest = F.concat("body", F.col("call_count").cast("string"))
+    key = K.FUNCTION_KEY
+    old = r.functions.filter("id % 5 <> 0").select(*key, digest.alias("hash")).groupBy(*key).agg(F.min("hash").alias("hash"))
+    new = r.functions.filter("id % 3 <> 0").select(*key, F.when(F.col("id") % 7 == 0, "x").otherwise(digest).alias("hash")).groupBy(*key).agg(F.min("hash").alias("hash"))
+    return old, new
+
+
+def old_and_new_variables(r: Relations) -> tuple[DataFrame, DataFrame]:
+    key = K.VARIABLE_KEY
+    old = r.globals.filter("id % 4 <> 0").groupBy(*key).agg(F.min("var_type").alias("hash"))
+    new = r.globals.filter("id % 3 <> 0").groupBy(*key).agg(F.max("var_type").alias("hash"))
+    return old, new
+
+
+UPSERT = "select file_path, name, {line}, case when o.file_path is null then 'new' when n.file_path is null then 'gone' when o.hash = n.hash then 'unchanged' else 'changed' end as status from o full join n using (file_path, name, {line})"
+add("f7_indent", lambda r: r.table("pages").select("page_id", F.explode(C.lines(F.col("html"))).alias("line")).select("page_id", C.indent(F.col("line")).alias("indent")).groupBy("page_id").agg(F.sum("indent").alias("indent"), F.count("*").alias("n_lines")),
+    "select page_id, cast(sum(length(replace(regexp_extract(line, '^[ \\t]*'), chr(9), '    '))) as bigint) as indent, count(*) as n_lines from (select page_id, unnest(string_split(html, chr(10))) as line from pages) group by page_id")
+add("f8_line_count", lambda r: r.table("documents").select("doc_id", F.size(C.lines(F.col("text"))).alias("n_lines")), "select doc_id, len(string_split(text, chr(10))) as n_lines from documents")
+add("f11_visibility", lambda r: r.globals.select("id", C.variable_visibility(F.col("name")).alias("as_variable"), C.function_visibility(F.col("name")).alias("as_function")), oracle("select id, case when regexp_matches(name, '^[A-Z]') then 'public' else 'private' end as as_variable, case when regexp_matches(name, '^[a-z]') then 'private' else 'public' end as as_function from global_vars"))
+add("f9_all_upper", lambda r: r.globals.select("id", C.is_upper(F.col("name")).alias("all_upper")), oracle("select id, upper(name) = name and name <> '' as all_upper from global_vars"))
+add("f13_value_type", lambda r: r.table("events").select("event_id", C.go_type(F.get_json_object("props", "$.k")).alias("of_field"), C.go_type(F.col("value").cast("string")).alias("of_value"), C.go_type(F.concat(F.lit("&"), "event_type", F.lit("{}"))).alias("of_literal")).select("event_id", "of_literal"), "select event_id, event_type as of_literal from events")
+add("f19_paren_depth", lambda r: r.table("pages").select("page_id", C.paren_depth(F.col("html")).alias("depth")))
+add("f24_qualified_name", lambda r: r.functions.select("id", G.qualified(F.col("package_name"), F.col("name")).alias("qualified")), oracle(f"select id, {QUALIFIED} as qualified from functions"))
+add("f28_preview", lambda r: r.table("documents").select("doc_id", C.preview(F.col("text"), 3).alias("preview")), "select doc_id, array_to_string(list_slice(string_split(text, chr(10)), 1, 3), chr(10)) as preview from documents")
+add("x10_calls", lambda r: r.table("pages").select("page_id", F.explode(C.calls(F.col("html"))).alias("c")).groupBy("page_id", F.col("c.name").alias("name")).agg(F.count("*").alias("n")),
+    "select page_id, name, count(*) as n from (select page_id, unnest(regexp_extract_all(html, '(?:(\\w+)\\.)?(\\w+)\\s*\\(', 2)) as name from pages) where length(name) > 1 group by page_id, name")
+add("x10_lexed_calls", lexed)
+add("x3_page_scripts", extracted)
+add("s2_kept_dirs", lambda r: file_rows(r).filter(S.kept_dirs(F.col("rel_path"))), f"select * from ({FILES}) where {KEPT}")
+add("s4_s6_source_files", lambda r: S.source_files(file_rows(r), only=["go", "py"]), f"select * from (select *, {LANG} as language from ({FILES})) where {KEPT} and length <= 1048576 and language in ('go', 'python', 'erb')")
+add("s5_language", lambda r: file_rows(r).select("rel_path", C.extension(F.col("rel_path")).alias("ext")), f"select rel_path, lower(regexp_extract(rel_path, '([.][^./]+)$', 1)) as ext from ({FILES})")
+add("s8_changed_files", lambda r: S.changed_since(file_rows(r), file_rows(r).filter("length % 3 = 0").select(F.col("rel_path").alias("file_path"), (F.col("mtime") + F.when(F.col("mtime") > 40, 1).otherwise(0)).alias("mtime"))).select("rel_path", "length", "mtime"), f"select rel_path, length, mtime from ({FILES}) where not (length % 3 = 0 and mtime <= 40)")
+add("s13_s18_decoded", decoded)
+add("s17_control_share", lambda r: r.table("documents").select("doc_id", (C.control_share(F.col("text")) > 0.3).alias("is_binary")), "select doc_id, length(regexp_replace(left(text, 512), '[^\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')) > 0.3 * length(left(text, 512)) as is_binary from documents")
+add("s19_parse_cache", lambda r: K.split_by_cache(file_rows(r).select(F.col("rel_path").alias("file_path"), F.col("mtime").cast("string").alias("content_hash")), file_rows(r).filter("length % 3 = 0").select(F.col("rel_path").alias("file_path"), F.col("mtime").cast("string").alias("content_hash")))[1], f"select rel_path as file_path, cast(mtime as varchar) as content_hash from ({FILES}) where length % 3 <> 0")
+add("s22_languages", lambda r: r.spark.createDataFrame([(x.name, e, x.body) for x in LANGUAGES for e in x.extensions], "name string, extension string, body string"))
+add("k2_function_upsert", lambda r: K.upsert_status(*old_and_new(r), K.FUNCTION_KEY), oracle(UPSERT.format(line="line_start"), o=f"select file_path, name, line_start, min(hash) as hash from ({OLD}) group by all", n=f"select file_path, name, line_start, min(hash) as hash from ({NEW}) group by all"))
+add("k2_next_snapshot", lambda r: K.upserted(*old_and_new(r), K.FUNCTION_KEY), oracle("select * from n union all select o.* from o anti join n using (file_path, name, line_start)", o=f"select file_path, name, line_start, min(hash) as hash from ({OLD}) group by all", n=f"select file_path, name, line_start, min(hash) as hash from ({NEW}) group by all"))
+add("k3_edges", lambda r: r.deps.groupBy("caller_id").agg(F.collect_list("callee_name").alias("dependencies")).select(F.col("caller_id").alias("id"), "dependencies").transform(S.edges_of), oracle("select distinct caller_id, callee_name from function_deps"))
+add("k4_variable_upsert", lambda r: K.upsert_status(*old_and_new_variables(r), K.VARIABLE_KEY), oracle(UPSERT.format(line="line_num"), o="select file_path, name, line_num, min(var_type) as hash from global_vars where id % 4 <> 0 group by all", n="select file_path, name, line_num, max(var_type) as hash from global_vars where id % 3 <> 0 group by all"))
+add("k5_latest_per_key", lambda r: K.latest_by_key(r.table("events").select("user_id", "event_id", "event_type", "ts"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type"), "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k = 1")
+add("k7_file_metrics", lambda r: Q.file_metrics(K.current_functions(r.functions)), oracle(METRICS.replace("from functions", "from current"), current="select f.* from functions f join (select file_path, max(session_id) as session_id from functions group by file_path) using (file_path, session_id)"))
+add("k9_retained_sessions", lambda r: K.retained(r.sessions).select("id"), oracle("select id from scan_sessions order by id desc limit 3"))
+add("k9_repointed", lambda r: K.repointed(r.functions.select("id", "session_id"), r.functions.select(F.col("session_id").alias("id")).distinct(), 2), oracle("select id, case when session_id >= 2 then session_id else 3 end as session_id from functions"))
