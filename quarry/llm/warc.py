@@ -29,13 +29,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import place
+from .shared import place, written
 
 CRLF = "\r\n"
 FILE_BYTES = 32 << 20
 BLOCK_LINES = 512
 SHARD_LINES = 16 << 10
 MAX_SHARDS = 4096
+BROADCAST_DIGESTS = 200_000  # of 48 bytes each
 
 
 def records(pages: DataFrame, id_col: str, url: str, payload: str, min_bytes: int, date: str) -> DataFrame:
@@ -44,7 +45,9 @@ def records(pages: DataFrame, id_col: str, url: str, payload: str, min_bytes: in
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.regexp_replace(F.col(url).cast("string"), r"\s", "%20"), F.lit("")).alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload")
     ).withColumns({"digest": F.sha1(F.col("payload").cast("binary")), "size": F.octet_length("payload").cast("long")})
     large = rows.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    rows = rows.join(large, "digest", "left")
+    large = written(large, "repeated-payloads")
+    few = large.count() <= BROADCAST_DIGESTS  # else payloads move once, to meet their digests
+    rows = rows.join(F.broadcast(large) if few else large, "digest", "left")
     revisit = F.coalesce((F.col("size") >= min_bytes) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.lit(False))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
