@@ -1,40 +1,5 @@
 """The folder that the driver and all executors share."""
 
-from __future__ import annotations
+from quarry.plans.shared import checkpointed, folder, place, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder of this machine only where none is set, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="quarry-")
-        if not held.isDefined():
-            spark.sparkContext.setCheckpointDir(where)
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def place(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows as they are now, in the shared folder, without their lineage."""
-    folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table of the shared folder."""
-    spark = df.sparkSession
-    path = place(spark, name)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+__all__ = ["checkpointed", "folder", "place", "written"]
