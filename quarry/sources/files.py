@@ -72,19 +72,28 @@ def source_files(files: DataFrame, languages: tuple[Language, ...] = LANGUAGES,
     return out
 
 
+BROADCAST_PATHS = 100_000
+
+
 def one_of_hard_links(files: DataFrame) -> DataFrame:
-    """Of files that are one inode, the first by path. The inodes are read where the files are local: on the driver, from names only."""
-    seen: dict[tuple[int, int], str] = {}
-    drop = []
-    for row in files.select("path").orderBy("path").toLocalIterator():
-        local = re.sub(r"^file:/*", "/", row.path)
-        try:
-            stat = os.stat(local)
-        except OSError:
-            continue
-        if stat.st_nlink > 1 and seen.setdefault((stat.st_dev, stat.st_ino), row.path) != row.path:
-            drop.append((row.path,))
-    return files.join(files.sparkSession.createDataFrame(drop, "path string"), "path", "left_anti") if drop else files
+    """Of files that are one inode, the first by path. Executors read the inodes of files that are local to them; others have none."""
+
+    def inodes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for path in frame["path"]:
+                try:
+                    stat = os.stat(re.sub(r"^file:/*", "/", path))
+                    found.append(f"{stat.st_dev}:{stat.st_ino}" if stat.st_nlink > 1 else None)
+                except OSError:
+                    found.append(None)
+            yield frame.assign(inode=found)[["path", "inode"]]
+
+    linked = files.select("path").mapInPandas(inodes, "path string, inode string").filter("inode is not null")
+    again = linked.join(linked.groupBy("inode").agg(F.min("path").alias("first")), "inode").filter("path <> first").select("path")
+    # contents stay where they are unless there are very many links
+    few = again.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS
+    return files.join(F.broadcast(again) if few else again, "path", "left_anti")
 
 
 def changed_since(files: DataFrame, file_cache: DataFrame) -> DataFrame:
