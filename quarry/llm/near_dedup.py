@@ -11,7 +11,8 @@ their maximum.
    the registers that are larger, smaller and equal. A leader claims what is close to it, and is
    connected to all that a linked document of a claimed one could be (Jaccard distance obeys the
    triangle inequality), so linked documents end up in one cluster although no bucket is expanded
-   into all its pairs. Buckets larger than a bound are dealt as pairs of blocks.
+   into all its pairs. Buckets larger than a bound are dealt as pairs of blocks. A few bands go first;
+   of the others, buckets whose members are in one cluster already are left out.
 3. In each cluster, pairs are verified on the full sets, the most similar first, unless they are
    already connected. Clusters larger than a bound are dealt as pairs of blocks, too.
 4. The verified links' connected components are the classes.
@@ -40,6 +41,7 @@ BAND_ROWS, BANDS = 7, 36
 REGISTERS = BAND_ROWS * BANDS
 CLAIM, CONNECT = 0.13, 0.45  # below the threshold by so much: claimed by a leader, connected to it
 BUCKET_BLOCK, CLUSTER_BLOCK = 2048, 1024
+FIRST_BANDS = 8  # bands that are joined first
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * _R)
 _ODD = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * _Q) | np.uint64(1)
 
@@ -109,11 +111,11 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.
     return (low + high) / 2
 
 
-_SKETCHED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("registers", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SKETCHED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("registers", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def sketch_documents(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
-    """(doc_id, n_shingles, node: hash of the whole set, registers, bands) of every row."""
+    """(doc_id, key: the id or a hash in its place, n_shingles, node: hash of the whole set, registers, bands) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, "text"):
@@ -123,10 +125,15 @@ def sketch_documents(docs: DataFrame, id_col: str, text: str, k: int) -> DataFra
             wide = registers.astype(np.uint64).reshape(len(registers) * BANDS, BAND_ROWS)
             band = range_hash(wide.reshape(-1) + np.uint64(1), np.arange(len(wide)) * BAND_ROWS, np.arange(1, len(wide) + 1) * BAND_ROWS, _R)
             band = mix(band.reshape(-1, BANDS) ^ _SEEDS[:BANDS]).view(np.int64)
-            yield pa.record_batch([batch.column("id"), np.diff(at), node, pa.array([r.tobytes() for r in registers], pa.binary()), pa.array(list(band), pa.list_(pa.int64()))], schema=_SKETCHED)
+            yield pa.record_batch([batch.column("id"), batch.column("key"), np.diff(at), node, pa.array([r.tobytes() for r in registers], pa.binary()), pa.array(list(band), pa.list_(pa.int64()))], schema=_SKETCHED)
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_shingles long, node long, registers binary, bands array<long>")
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).withColumn("key", _key())
+    return picked.mapInArrow(run, "doc_id long, key long, n_shingles long, node long, registers binary, bands array<long>")
+
+
+def _key():
+    """What finds a row's text again: its id, or for a null id a hash of the text."""
+    return F.coalesce("id", F.xxhash64("text"))
 
 
 def node_of(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -170,11 +177,12 @@ def in_blocks(members: DataFrame, key: str, counts: DataFrame, block: int) -> Da
 
 
 def near_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Edges between leaders and members of each bucket that may hold links."""
+    """Edges between the labels of leaders and members of each bucket that may hold links."""
     for table, starts in in_runs(batches, ["bucket", "i", "j"]):
         node = table.column("node").to_numpy()
         size = table.column("n_shingles").to_numpy().astype(float)
         registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(len(node), -1)
+        label = table.column("label").to_numpy()
         group = np.zeros(len(node), np.int64)
         group[starts[1:]] = 1
         group = np.cumsum(group)
@@ -186,8 +194,8 @@ def near_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[
             member = leader != waiting
             a, b = leader[member], waiting[member]
             j = joint_estimate(registers[a], registers[b], size[a], size[b]) if len(a) else np.zeros(0)
-            near = j >= threshold - CONNECT
-            edges.append(np.stack([node[a[near]], node[b[near]]], axis=1))
+            near = (j >= threshold - CONNECT) & (label[a] != label[b])
+            edges.append(np.stack([label[a[near]], label[b[near]]], axis=1))
             waiting = b[j < threshold - CLAIM]
         out = np.unique(np.concatenate(edges), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
@@ -201,7 +209,7 @@ def verified_links(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> I
             part = table.slice(int(s), int(e - s))
             h, at = shingle_sets(*buffer_of(part.column("text")), k)
             node = part.column("node").to_numpy()
-            own = node_of(h, at) == node  # a row that only shares its id with the node's document is passed over
+            own = node_of(h, at) == node  # a row that only shares its key with the node's document is passed over
             registers = np.frombuffer(b"".join(part.column("registers").to_pylist()), np.uint16).reshape(len(node), -1)
             size = np.diff(at)
             for x, y in _cluster_links(np.flatnonzero(own), h, at, size, registers, percent):
@@ -242,22 +250,32 @@ def _cluster_links(rows: np.ndarray, h: np.ndarray, at: np.ndarray, size: np.nda
     return out
 
 
+def _joined(nodes: DataFrame, threshold: float) -> DataFrame:
+    """The components of the edges between labels that share a bucket of the given bands."""
+    banded = nodes.select("node", "label", F.explode("bands").alias("bucket"))
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket", "n")
+    crowded = banded.join(buckets.select("bucket"), "bucket").join(nodes.select("node", "n_shingles", "registers"), "node")
+    return components(in_blocks(crowded, "bucket", buckets, BUCKET_BLOCK).mapInArrow(lambda b: near_links(b, threshold), "a long, b long"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: links are pairs with Jaccard >= percent / 100."""
     sketched = written(sketch_documents(docs, id_col, text, shingle), "sketches")
     rows = sketched.select("doc_id", "n_shingles", "node")
     some = sketched.filter("n_shingles > 0")
-    nodes = some.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    nodes = some.groupBy("node").agg(F.min("key").alias("key"))
     one = written(some.select("node", "n_shingles", "registers", "bands").dropDuplicates(["node"]), "nodes")
-    banded = one.select("node", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    crowded = banded.join(buckets.select("bucket"), "bucket").join(one.select("node", "n_shingles", "registers"), "node")
-    threshold = percent / 100
-    edges = in_blocks(crowded, "bucket", buckets, BUCKET_BLOCK).mapInArrow(lambda b: near_links(b, threshold), "a long, b long")
-    clusters = components(edges.distinct()).withColumnRenamed("label", "cluster")
+    first = _joined(one.select("node", "n_shingles", "registers", F.slice("bands", 1, FIRST_BANDS).alias("bands"), F.col("node").alias("label")), percent / 100)
+    # most groups are whole by now: of the other bands, only buckets that hold several clusters are looked at
+    labelled = written(one.join(first, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    second = _joined(labelled.select("node", "n_shingles", "registers", F.slice("bands", FIRST_BANDS + 1, BANDS - FIRST_BANDS).alias("bands"), "label"), percent / 100)
+    merged = labelled.select("node", "label").join(second.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label", "left").select("node", F.coalesce("cluster", "label").alias("cluster"))
+    crowds = merged.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1")
+    clusters = written(merged.join(crowds.select("cluster"), "cluster"), "clusters")
     members = clusters.join(nodes, "node").join(one.select("node", "registers"), "node")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    with_text = members.join(texts, "doc_id").select("cluster", "node", "registers", "text")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).select(_key().alias("key"), "text")
+    # rows that repeat an id bring a text each: equal ones are one again before they meet in a cluster
+    with_text = members.join(texts, "key").select("cluster", "node", "registers", "text").dropDuplicates(["node", "text"])
     counts = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
     links = in_blocks(with_text, "cluster", counts, CLUSTER_BLOCK).mapInArrow(lambda b: verified_links(b, shingle, percent), "a long, b long")
     classes = components(links)

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 SEPARATORS = np.zeros(256, bool)
 SEPARATORS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 U64 = np.uint64
 _P, _Q, _R = (U64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
 

@@ -253,7 +253,8 @@ def test_near_dedup(spark, docs, rows, k, percent):
         w = list(base)
         for _ in range(i % 8):
             w[r.randrange(200)] = f"edit{r.randrange(10**6)}"
-        near.append((2000 + i, " ".join(w)))
+        near.append((2000 + i if i % 9 else None, " ".join(w)))
+    near += near[5:7]
     both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(near, "doc_id long, text string"))
     got = near_dedup.near_duplicates(spark, both, shingle=k, percent=percent).collect()
     assert sorted(map(str, brute_classes([*rows, *near], k, percent))) == sorted(str((x.doc_id, x.n_shingles, x.component_id)) for x in got)
