@@ -41,7 +41,7 @@ BAND_ROWS, BANDS = 7, 36
 REGISTERS = BAND_ROWS * BANDS
 CLAIM, CONNECT = 0.13, 0.45  # below the threshold by so much: claimed by a leader, connected to it
 BUCKET_BLOCK, CLUSTER_BLOCK = 2048, 1024
-FIRST_BANDS = 8  # bands that are joined first
+FIRST_BANDS = 3  # bands that are joined first
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * _R)
 _ODD = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * _Q) | np.uint64(1)
 
