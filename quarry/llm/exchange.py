@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import numpy.typing
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,22 +37,19 @@ def in_blocks(docs: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
 
 
 def packed(block: int, shards: int, kind: int, h1: np.ndarray, h2: np.ndarray, value: np.ndarray) -> pa.Table:
-    """One row per shard with its hashes; h1 must be sorted, as shards are ranges of h1."""
-    bounds = np.searchsorted(h1, shard_starts(shards))
-    bounds = np.append(bounds, len(h1))
-    used = np.flatnonzero(np.diff(bounds))
-    parts = [[x[bounds[i] : bounds[i + 1]].tobytes() for i in used] for x in (h1, h2, value)]
-    n = len(used)
-    return pa.table([pa.array(np.full(n, block, np.int32)), pa.array(used.astype(np.int32)), pa.array(np.full(n, kind, np.int32)), *(pa.array(p, pa.binary()) for p in parts)], schema=_ASK)
+    """One row per shard that gets anything, with its hashes; h1 must be sorted, as shards are ranges of h1."""
+    shard = ((h1 >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    first = np.flatnonzero(np.diff(shard, prepend=~shard[:1]))
+    bounds = np.append(first, len(h1))
+    n = len(first)
+    parts = [[x[bounds[i] : bounds[i + 1]].tobytes() for i in range(n)] for x in (h1, h2, value)]
+    return pa.table([pa.array(np.full(n, block, np.int32)), pa.array(shard[first].astype(np.int32)), pa.array(np.full(n, kind, np.int32)), *(pa.array(p, pa.binary()) for p in parts)], schema=_ASK)
 
 
-def shard_starts(shards: int) -> np.ndarray:
-    return np.array([(i << 64) // shards for i in range(shards)], np.uint64)
-
-
-def unpacked(table: pa.Table | pa.RecordBatch, value_type: type) -> tuple[np.ndarray, ...]:
+def unpacked(table: pa.Table | pa.RecordBatch, value_type: np.typing.DTypeLike) -> tuple[np.ndarray, ...]:
     """(h1, h2, value, index of the row) of all entries of packed rows."""
-    def column(name: str, kind: type) -> np.ndarray:
+
+    def column(name: str, kind: np.typing.DTypeLike) -> np.ndarray:
         parts = [np.frombuffer(x, kind) for x in table.column(name).to_pylist() if x]
         return np.concatenate(parts) if parts else np.zeros(0, kind)
 
@@ -73,22 +71,30 @@ def grouped(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def answers(asked: DataFrame, value_type: type, decide: Callable[..., tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Group all entries of a shard by string.
+Decision = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
-    decide(value in order, starts) returns (which entries get an answer, the answers), in order.
-    """
 
-    def of_shard(table: pa.Table) -> pa.Table:
-        h1, h2, value, row = unpacked(table, value_type)
+def by_string(decide: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Decision:
+    """decide(values in order of their strings, starts of the strings) -> (which get an answer, the answers), in that order."""
+
+    def decision(h1: np.ndarray, h2: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order, starts = grouped(h1, h2)
         keep, answer = decide(value[order], starts)
-        chosen = order[keep]
+        return order[keep], answer[keep]
+
+    return decision
+
+
+def answers(asked: DataFrame, value_type: np.typing.DTypeLike, decide: Decision) -> DataFrame:
+    """What each shard answers: decide(h1, h2, value) over all its entries -> (entries that get an answer, the answers)."""
+
+    def of_shard(table: pa.Table) -> pa.Table:
+        h1, h2, value, row = unpacked(table, value_type)
+        chosen, answer = decide(h1, h2, value)
         if not len(chosen):
             return _ASK.empty_table()
         block = np.array(table.column("block").to_numpy(), np.int64)[row[chosen]]
         kind = table.column("kind")[0].as_py()
-        answer = answer[keep]
         by = np.argsort(block, kind="stable")
         out, edges = [], np.flatnonzero(np.diff(block[by], prepend=-1))
         for i, j in zip(edges, np.append(edges[1:], len(by)), strict=True):
@@ -103,7 +109,7 @@ def empty_ask() -> pa.Table:
     return _ASK.empty_table()
 
 
-def one_block(table: pa.Table, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def one_block(table: pa.Table, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     from .text import rows_of
 
     yield from rows_of(table.combine_chunks().to_batches(), "text", limit)

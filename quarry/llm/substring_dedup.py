@@ -110,7 +110,7 @@ def remove_repeated_windows(spark: SparkSession, docs: DataFrame, id_col: str =
             out.append(_kept(batch.column("id"), words, gone))
         return pa.concat_tables(out) if out else _SCHEMA.empty_table()
 
-    told = X.answers(dealt.groupBy("block").applyInArrow(ask, X.ASK), np.uint8, repeated)
+    told = X.answers(dealt.groupBy("block").applyInArrow(ask, X.ASK), np.uint8, X.by_string(repeated))
     return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(finish, OUT)
 
 

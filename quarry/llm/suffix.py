@@ -5,37 +5,50 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_order(code: np.ndarray, end: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+SYMBOLS_AT_ONCE = 6  # symbols below 2**10 that one 64-bit key holds
+
+
+def suffix_order(code: np.ndarray, end: np.ndarray, group: np.ndarray | None = None, at_once: int = 1) -> tuple[np.ndarray, list[np.ndarray]]:
     """(suffix array, ranks by the first 1, 2, 4, ... symbols) of the suffixes code[i:end[i]].
 
     A suffix that is a prefix of another comes first; suffixes equal to their ends have one rank.
-    group: suffixes of different groups are kept apart, in the groups' order.
+    group: suffixes of different groups are kept apart, in the groups' order. at_once: symbols, small
+    numbers then, that the first round takes together; only the final ranks are given then.
     """
     n = len(code)
     if not n:
         return np.zeros(0, np.int64), []
-    _, key = np.unique(code, return_inverse=True)
-    key = key.astype(np.int64)
+    if at_once > 1:
+        key, room = np.zeros(n, np.int64), end - np.arange(n)
+        wide = np.concatenate([code.astype(np.int64) + 1, np.zeros(at_once, np.int64)])
+        for k in range(at_once):
+            key = key << 10 | np.where(room > k, wide[k : n + k], 0)
+    else:
+        _, key = np.unique(code, return_inverse=True)
+        key = key.astype(np.int64)
     if group is not None:
         key += group.astype(np.int64) * n
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     head = _heads(key[order])
     rank = np.empty(n, np.int64)
     rank[order] = head
-    ranks, span = [rank.copy()], 1
-    active = np.flatnonzero(_tied(head))  # places in the order whose suffixes still tie with others
+    ranks, span = [rank.copy()], at_once
+    active = np.flatnonzero(_tied(head) & (order + span <= end[order]))  # places in the order whose suffixes still tie with others
     while len(active):
         at = order[active]
         after = at + span
         second = np.where(after < end[at], rank[np.minimum(after, n - 1)] + 1, 0)
         key = rank[at] * (n + 1) + second
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         order[active], key, second = at[by], key[by], second[by]
         head = active[_heads(key)]
         rank[order[active]] = head
-        ranks.append(rank.copy())
+        if at_once == 1:
+            ranks.append(rank.copy())
         active = active[_tied(head) & (second > 0)]  # suffixes that end together are equal
         span *= 2
+    if at_once > 1:
+        ranks = [rank]
     return order, ranks
 
 
@@ -74,8 +87,8 @@ def common_prefixes(order: np.ndarray, ranks: list[np.ndarray], end: np.ndarray)
     return out
 
 
-def prefix_free_order(symbols: np.ndarray, end: np.ndarray, trigger: np.ndarray, overlap: int) -> np.ndarray:
-    """The order of all suffixes symbols[i:end[i]] by prefix-free parsing.
+def prefix_free_order(symbols: np.ndarray, end: np.ndarray, trigger: np.ndarray, overlap: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The order of all suffixes symbols[i:end[i]], or of those at wanted places, by prefix-free parsing.
 
     symbols: several texts one after another; end: where each place's text ends; trigger: places at
     which a gram of `overlap` symbols ends a phrase and begins the next. Phrases overlap by that
@@ -86,11 +99,11 @@ def prefix_free_order(symbols: np.ndarray, end: np.ndarray, trigger: np.ndarray,
     n = len(symbols)
     if not n:
         return np.zeros(0, np.int64)
-    place = np.arange(n)
+    place = np.arange(n) if wanted is None else np.flatnonzero(wanted)
     first = np.zeros(n, bool)
     first[0] = True
     first[1:] = end[1:] != end[:-1]
-    starts = np.flatnonzero(first | (trigger & (place + overlap <= end)))
+    starts = np.flatnonzero(first | (trigger & (np.arange(n) + overlap <= end)))
     text_end = end[starts]
     follows = np.zeros(len(starts), bool)  # the next phrase is of the same text
     follows[:-1] = text_end[1:] == text_end[:-1]
@@ -110,7 +123,7 @@ def prefix_free_order(symbols: np.ndarray, end: np.ndarray, trigger: np.ndarray,
     keep = np.ones(len(dictionary), bool)
     keep[(begin + length - 1)[~follows[sample]]] = False
     dictionary[keep] = words
-    _, ranks = suffix_order(dictionary, np.repeat(begin + length, length))
+    _, ranks = suffix_order(dictionary, np.repeat(begin + length, length), at_once=SYMBOLS_AT_ONCE)
     of_phrase = ranks[-1]
     # parse: each text as its phrases' ranks
     parse = of_phrase[begin][phrase]
@@ -122,4 +135,4 @@ def prefix_free_order(symbols: np.ndarray, end: np.ndarray, trigger: np.ndarray,
     own = np.searchsorted(starts, place, "right") - 1
     first_key = of_phrase[begin[phrase[own]] + place - starts[own]]
     next_key = np.where(follows[own], rank[np.minimum(own + 1, len(rank) - 1)] + 1, 0)
-    return np.lexsort((next_key, first_key))
+    return place[np.argsort(first_key * (len(starts) + 2) + next_key)]

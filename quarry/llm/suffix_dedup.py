@@ -4,10 +4,10 @@ A rolling hash of the last bytes triggers phrase ends, wherever the bytes occur,
 alike. The dictionary of distinct phrases (with the bytes that a window may reach beyond them) gives
 each phrase the smallest id that holds it: what a later document copied is decided phrase by phrase,
 and only the text of a phrase's first holder goes on. There, windows are left whose anchor (the
-least-hashed gram in them) another document holds too; of these few, each block of documents builds
-the dictionary's suffix array, the parse's suffix array, and from both the order of its suffixes. Runs
-of neighbours that share a whole window are its distinct windows, each with its smallest id; blocks
-compare those by content, as no order deeper than a window is needed between blocks.
+least-hashed gram in them) another document holds too. Of these few, each block of documents builds
+the dictionary's suffix array, the parse's suffix array, and from both the order of its suffixes: runs
+of neighbours that share a whole window have its smallest id in the block. Blocks compare what their
+windows hold around an anchor by content, as no order deeper than a window is needed between blocks.
 
 Every exchange is between blocks and shards of a fixed size (see exchange.py), so a passage that a
 third of the corpus holds is one entry a block.
@@ -28,16 +28,16 @@ from . import exchange as X
 from .suffix import prefix_free_order
 from .text import _P, _Q, _R, BYTE_CODES, buffer_of, cover, mix, range_hash, sliding
 
-WINDOW, GRAM, TRIGGER = 50, 16, 8
+WINDOW, GRAM, TRIGGER = 50, 24, 8
 PHRASE_BITS, PARSE_BITS = 7, 5  # a trigger in 2**bits places: of documents, of what is sorted
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _NONE = np.int64(np.iinfo(np.int64).max)
 OUT = "doc_id long, n_bytes long, n_removed long, kept binary, spans array<struct<start:int,end:int>>"
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
 
 class Chunk:
-    """The bytes, windows and phrases of some documents of a block."""
+    """The bytes and phrases of some documents of a block. What has a number a byte is made when it is asked for."""
 
     def __init__(self, batch: pa.RecordBatch, window: int):
         self.window = window
@@ -45,27 +45,35 @@ class Chunk:
         self.raw, self.offsets = buffer_of(batch.column("text"))
         self.id = np.array(self.ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64)
         self.named = np.array(self.ids.is_valid().to_numpy(zero_copy_only=False), bool)
-        n = len(self.raw)
-        self.doc = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
-        self.end = self.offsets[1:][self.doc]
-        self.valid = (np.arange(n) + window <= self.end) & self.named[self.doc]  # starts of windows
-        self.eight = _eight(self.raw)
         self._phrases()
 
+    def doc_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.offsets, places, "right") - 1
+
+    def valid(self) -> np.ndarray:
+        """Starts of windows, of documents with an id."""
+        out = np.zeros(len(self.raw) + 1, np.int8)
+        last = self.offsets[1:] - self.window + 1
+        some = self.named & (last > self.offsets[:-1])
+        np.add.at(out, self.offsets[:-1][some], 1)
+        np.subtract.at(out, last[some], 1)
+        return np.cumsum(out[:-1], dtype=np.int8) > 0
+
     def _phrases(self) -> None:
         n = len(self.raw)
-        begin = triggers(self.eight, PHRASE_BITS)
+        begin = triggers(_eight(self.raw), PHRASE_BITS)
         begin[self.offsets[:-1][np.diff(self.offsets) > 0]] = True
-        begin &= self.valid
+        begin &= self.valid()
         self.start = np.flatnonzero(begin)
-        limit = np.minimum(np.append(self.start[1:], n), self.end[self.start] - self.window + 1)
+        doc = self.doc_of(self.start)
+        limit = np.minimum(np.append(self.start[1:], n), self.offsets[1:][doc] - self.window + 1)
         self.stop = np.maximum(limit, self.start + 1)  # windows that begin in the phrase
         whole = self.stop + self.window - 1
         code = BYTE_CODES[self.raw]
         size = (whole - self.start).astype(np.uint64)
         self.h1 = mix(range_hash(code, self.start, whole, _P) ^ size)
         self.h2 = mix(range_hash(code * _R, self.start, whole, _Q))
-        self.holder = self.id[self.doc[self.start]] if len(self.start) else np.zeros(0, np.int64)
+        self.holder = self.id[doc] if len(doc) else np.zeros(0, np.int64)
 
     def copied(self, least: np.ndarray) -> np.ndarray:
         """Windows of phrases that a document with a smaller id holds."""
@@ -75,19 +83,21 @@ class Chunk:
         np.subtract.at(delta, self.stop[gone], 1)
         return np.cumsum(delta[:-1]) > 0
 
-    def anchors(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(wanted window starts, their least grams, places of all least grams of wanted windows)."""
+    def anchors(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(wanted window starts, their least grams, places of all least grams of wanted windows, these grams)."""
         span = self.window - GRAM + 1
         n = len(self.raw) - self.window + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.gram = mix(self.eight[: n + span - 1] * _P ^ (self.eight[8 : n + span + 7] * _Q + _R))
-        least = sliding(np.minimum, self.gram, span)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        eight = _eight(self.raw)
+        gram = mix(mix(eight[: n + span - 1] * _P ^ (eight[8 : n + span + 7] * _Q + _R)) ^ eight[GRAM - 8 : n + span + GRAM - 9] * _R)
+        del eight
+        least = sliding(np.minimum, gram, span)
         lined = np.zeros(n + 2 * (span - 1), np.uint64)
         lined[span - 1 : span - 1 + n] = np.where(wanted[:n], least, 0)
-        selected = (sliding(np.maximum, lined, span) == self.gram) & (self.gram > 0)
+        selected = np.flatnonzero((sliding(np.maximum, lined, span) == gram) & (gram > 0))
         starts = np.flatnonzero(wanted[:n])
-        return starts, least[starts], np.flatnonzero(selected)
+        return starts, least[starts], selected, gram[selected]
 
 
 def _eight(raw: np.ndarray) -> np.ndarray:
@@ -104,14 +114,6 @@ def triggers(eight: np.ndarray, bits: int) -> np.ndarray:
     return ((eight[:n] ^ (eight[:n] >> np.uint64(29))) * _P) >> np.uint64(64 - bits) == 0
 
 
-def window_hashes(eight: np.ndarray, starts: np.ndarray, window: int, base: np.uint64) -> np.ndarray:
-    out = np.full(len(starts), base, np.uint64)
-    for at in [*range(0, window - 8, 8), window - 8]:
-        out = (out ^ eight[starts + at]) * base
-        out ^= out >> np.uint64(31)
-    return mix(out)
-
-
 def least_of(h1: np.ndarray, h2: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct h1 in order, their h2, the smallest value of each)."""
     if not len(h1):
@@ -130,49 +132,102 @@ def meet(asked1: np.ndarray, asked2: np.ndarray, *tables: tuple[np.ndarray, np.n
     return out
 
 
-def windows_in_order(chunk_windows: list[tuple[Chunk, np.ndarray]], window: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(h1, h2, smallest id in the block) of the given windows of each chunk, in the order of their starts.
+def smallest_in_block(chunk_windows: list[tuple[Chunk, np.ndarray]], window: int) -> list[np.ndarray]:
+    """The smallest id in the block that holds each of the given windows (by start), chunk by chunk.
 
     The text that the windows cover is parsed and suffix-sorted; in that order equal windows are neighbours.
     """
-    pieces, ends, ids, is_start, h1s, h2s, at = [], [], [], [], [], [], 0
+    pieces, ends, ids, is_start, at = [], [], [], [], 0
     for chunk, starts in chunk_windows:
         if not len(starts):
             continue
-        covered = cover(starts, window, len(chunk.raw))
-        place = np.flatnonzero(covered)
+        place = np.flatnonzero(cover(starts, window, len(chunk.raw)))
+        doc = chunk.doc_of(place)
         new = np.ones(len(place), bool)  # a region goes on while its windows overlap and its document is one
-        new[1:] = (np.diff(place) > 1) | (chunk.doc[place[1:]] != chunk.doc[place[:-1]])
+        new[1:] = (np.diff(place) > 1) | (doc[1:] != doc[:-1])
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(place)))
         pieces.append(chunk.raw[place])
         ends.append(at + np.repeat(first + size, size))
-        ids.append(chunk.id[chunk.doc[place]])
+        ids.append(chunk.id[doc])
         flags = np.zeros(len(chunk.raw), bool)
         flags[starts] = True
         is_start.append(flags[place])
-        h1s.append(window_hashes(chunk.eight, starts, window, _P))
-        h2s.append(window_hashes(chunk.eight, starts, window, _R))
         at += len(place)
     if not pieces:
-        return [(np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)] * len(chunk_windows)
+        return [np.zeros(0, np.int64)] * len(chunk_windows)
     symbols, end, id_, start = map(np.concatenate, (pieces, ends, ids, is_start))
-    h1, h2 = np.concatenate(h1s), np.concatenate(h2s)
-    trigger = triggers(_eight(symbols), PARSE_BITS)
-    order = prefix_free_order(symbols, end, trigger, TRIGGER)
-    order = order[start[order]]
-    number = np.cumsum(start) - 1  # of the windows, by start
-    number = number[order]
-    same = (h1[number][1:] == h1[number][:-1]) & (h2[number][1:] == h2[number][:-1])
+    eight = _eight(symbols)
+    order = prefix_free_order(symbols, end, triggers(eight, PARSE_BITS), TRIGGER, start)
+    same = np.ones(len(order) - 1, bool)  # neighbours that share a whole window
+    for k in [*range(0, window - 8, 8), window - 8]:
+        x = eight[order + k]
+        same &= x[1:] == x[:-1]
     first = np.flatnonzero(np.concatenate([[True], ~same]))
     least = np.minimum.reduceat(id_[order], first)
+    number = (np.cumsum(start) - 1)[order]  # of the windows, by start
     out = np.empty(len(number), np.int64)
     out[number] = np.repeat(least, np.diff(np.append(first, len(number))))
-    result, at = [], 0
-    for _, starts in chunk_windows:
-        result.append((h1[at : at + len(starts)], h2[at : at + len(starts)], out[at : at + len(starts)]))
-        at += len(starts)
-    return result
+    return np.split(out, np.cumsum([len(starts) for _, starts in chunk_windows])[:-1])
+
+
+def contexts(chunk: Chunk, places: np.ndarray, gram: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, hashes) of the text around anchors: what any window with the anchor can hold, and its document.
+
+    Bytes beyond the document are zero, and left and right say how many there are within it.
+    """
+    side = window - GRAM
+    out = np.zeros(len(places), context_type(window))
+    doc = chunk.doc_of(places)
+    out["id"] = chunk.id[doc]
+    out["left"] = np.minimum(places - chunk.offsets[:-1][doc], side)
+    out["right"] = np.minimum(chunk.offsets[1:][doc] - places - GRAM, side)
+    padded = np.concatenate([np.zeros(side, np.uint8), chunk.raw, np.zeros(side, np.uint8)])
+    view = np.lib.stride_tricks.sliding_window_view(padded, side) if len(padded) >= side else padded.reshape(0, side)
+    before, after = view[places].copy(), view[places + side + GRAM].copy()
+    column = np.arange(side)
+    before[column < side - out["left"][:, None]] = 0
+    after[column >= out["right"][:, None]] = 0
+    out["text"][:, :side], out["text"][:, side:] = before, after
+    h = mix(gram ^ out["left"].astype(np.uint64) * _P ^ out["right"].astype(np.uint64) * _Q)
+    words = np.ascontiguousarray(np.pad(out["text"], ((0, 0), (0, -2 * side % 8)))).view(np.uint64)
+    for i in range(words.shape[1]):
+        h = mix(h ^ words[:, i] * _R)
+    return out, h
+
+
+def context_type(window: int) -> np.dtype:
+    return np.dtype([("id", "<i8"), ("left", "u1"), ("right", "u1"), ("text", "u1", (2 * (window - GRAM),))])
+
+
+def earlier_windows(window: int) -> X.Decision:
+    """Of each context, the windows (a bit each, by how far they begin before the anchor) that a smaller id holds."""
+    side = window - GRAM
+
+    def decision(gram: np.ndarray, _: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(gram)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        left, right = entry["text"][:, :side], entry["text"][:, side:]
+        suffix, prefix = np.zeros((side + 1, n), np.uint64), np.zeros((side + 1, n), np.uint64)
+        for i in range(side):
+            suffix[i + 1] = suffix[i] * _P + left[:, side - 1 - i] + np.uint64(1)
+            prefix[i + 1] = prefix[i] * _Q + right[:, i] + np.uint64(1)
+        mask = np.zeros(n, np.int64)
+        for back in range(side + 1):
+            own = np.flatnonzero((entry["left"] >= back) & (entry["right"] >= side - back))
+            if not len(own):
+                continue
+            a = mix(gram[own] ^ mix(suffix[back][own]) * _R ^ prefix[side - back][own])
+            order, first = X.grouped(a, mix(gram[own] + suffix[back][own] * _Q) ^ mix(prefix[side - back][own] * _P))
+            id_ = entry["id"][own][order]
+            least = np.repeat(np.minimum.reduceat(id_, first), np.diff(np.append(first, len(order))))
+            hit = own[order[least < id_]]
+            mask[hit] |= np.int64(1) << np.int64(back)
+        chosen = np.flatnonzero(mask)
+        return chosen, mask[chosen]
+
+    return decision
 
 
 class Block:
@@ -197,21 +252,22 @@ class Block:
         out = []
         for c in self.chunks:
             copied = c.copied(meet(c.h1, c.h2, own, self.told[0]))
-            out.append((copied, c.valid & ~copied))
+            out.append((copied, c.valid() & ~copied))
         return out
 
-    def candidates(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """(copied windows, starts of the other windows whose anchor another document holds) of each chunk."""
-        held = self.first_held()
+    def candidates(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(copied windows, starts of the other windows whose anchor another document holds, these anchors' places, their grams) of each chunk."""
         out = []
-        for c, (_, wanted) in zip(self.chunks, held, strict=True):
-            starts, least, _ = c.anchors(wanted)
+        for c, (copied, wanted) in zip(self.chunks, self.first_held(), strict=True):
+            starts, least, places, gram = c.anchors(wanted)
             if len(starts):
                 run = np.flatnonzero(np.diff(least, prepend=~least[0]))
                 hit = np.isin(least[run], self.told[1][0])
                 starts = starts[np.repeat(hit, np.diff(np.append(run, len(least))))]
-            out.append(starts)
-        return [h[0] for h in held], out
+                hit = np.isin(gram, self.told[1][0])
+                places, gram = places[hit], gram[hit]
+            out.append((copied, starts, places, gram))
+        return out
 
 
 def remove_earlier_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = X.BLOCK_BYTES) -> DataFrame:
@@ -219,8 +275,8 @@ def remove_earlier_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "do
 
     A byte goes if a string of `window` bytes that covers it also starts in a document of smaller id.
     """
-    if window < 2 * GRAM:
-        raise ValueError(f"windows need {2 * GRAM} bytes at least")
+    if not 2 * GRAM <= window < GRAM + 63:
+        raise ValueError(f"windows need {2 * GRAM} to {GRAM + 62} bytes")
     n = X.blocks_for(X.text_bytes(docs, text), block_bytes)
     dealt = X.in_blocks(docs, id_col, text, n)
 
@@ -233,9 +289,9 @@ def remove_earlier_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "do
         block = Block(table, told, window)
         grams, ids = [], []
         for c, (_, wanted) in zip(block.chunks, block.first_held(), strict=True):
-            _, _, places = c.anchors(wanted)
-            grams.append(c.gram[places] if len(places) else np.zeros(0, np.uint64))
-            ids.append(c.id[c.doc[places]])
+            _, _, places, gram = c.anchors(wanted)
+            grams.append(gram)
+            ids.append(c.id[c.doc_of(places)])
         gram, id_ = np.concatenate(grams), np.concatenate(ids)
         order = np.argsort(gram, kind="stable")
         gram, id_ = gram[order], id_[order]
@@ -247,19 +303,28 @@ def remove_earlier_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "do
         if not table.num_rows:
             return X.empty_ask()
         block = Block(table, told, window)
-        found = windows_in_order(list(zip(block.chunks, block.candidates()[1], strict=True)), window)
-        return X.packed(table.column("block")[0].as_py(), n, 2, *least_of(*(np.concatenate([f[i] for f in found]) for i in range(3))))
+        found = [(gram, *contexts(c, places, gram, window)) for c, (_, _, places, gram) in zip(block.chunks, block.candidates(), strict=True)]
+        gram, entry, h = (np.concatenate([f[i] for f in found]) for i in range(3))
+        order, first = X.grouped(gram, h)
+        if len(first):
+            entry["id"][order[first]] = np.minimum.reduceat(entry["id"][order], first)
+        one = order[first]
+        return X.packed(table.column("block")[0].as_py(), n, 2, gram[one], h[one], entry[one])
 
     def finish(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _OUT.empty_table()
         block = Block(table, told, window)
-        copied, starts = block.candidates()
+        found = block.candidates()
+        least = smallest_in_block([(c, f[1]) for c, f in zip(block.chunks, found, strict=True)], window)
+        h1, h2, mask = block.told[2]
         out = []
-        for c, gone, at, (h1, h2, least) in zip(block.chunks, copied, starts, windows_in_order(list(zip(block.chunks, starts, strict=True)), window), strict=True):
-            least = np.minimum(least, meet(h1, h2, block.told[2]))
-            hit = at[least < c.id[c.doc[at]]]
-            out.append(_kept(c, cover(np.concatenate([np.flatnonzero(gone), hit]), window, len(c.raw))))
+        for c, (copied, starts, places, gram), id_ in zip(block.chunks, found, least, strict=True):
+            gone = [np.flatnonzero(copied), starts[id_ < c.id[c.doc_of(starts)]]]
+            at = X.found(h1, h2, gram, contexts(c, places, gram, window)[1])
+            places, bits = places[at >= 0], mask[at[at >= 0]]
+            gone += [places[(bits >> back) & 1 > 0] - back for back in range(window - GRAM + 1)]
+            out.append(_kept(c, cover(np.concatenate(gone), window, len(c.raw))))
         return pa.concat_tables(out)
 
     def smallest(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,10 +338,10 @@ def remove_earlier_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "do
         return np.repeat(hit, size), several
 
     by_block = dealt.groupBy("block")
-    phrases = X.answers(by_block.applyInArrow(ask_phrases, X.ASK), np.int64, smallest)
-    anchors = X.answers(by_block.cogroup(phrases.groupBy("block")).applyInArrow(ask_anchors, X.ASK), np.int64, shared)
+    phrases = X.answers(by_block.applyInArrow(ask_phrases, X.ASK), np.int64, X.by_string(smallest))
+    anchors = X.answers(by_block.cogroup(phrases.groupBy("block")).applyInArrow(ask_anchors, X.ASK), np.int64, X.by_string(shared))
     known = phrases.unionByName(anchors)
-    windows = X.answers(by_block.cogroup(known.groupBy("block")).applyInArrow(ask_windows, X.ASK), np.int64, smallest)
+    windows = X.answers(by_block.cogroup(known.groupBy("block")).applyInArrow(ask_windows, X.ASK), context_type(window), earlier_windows(window))
     return by_block.cogroup(known.unionByName(windows).groupBy("block")).applyInArrow(finish, OUT)
 
 
@@ -291,7 +356,7 @@ def _kept(c: Chunk, gone: np.ndarray) -> pa.Table:
     before, after = np.concatenate([[False], gone[:-1]]), np.concatenate([gone[1:], [False]])
     s = np.flatnonzero(gone & (~before | border[:-1]))
     e = np.flatnonzero(gone & (~after | border[1:])) + 1
-    owner = c.doc[s]
+    owner = c.doc_of(s)
     spans = pa.StructArray.from_arrays([pa.array((s - c.offsets[owner]).astype(np.int32)), pa.array((e - c.offsets[owner]).astype(np.int32))], ["start", "end"])
     lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n_docs + 1)).astype(np.int32)), spans)
     return pa.table([c.ids, pa.array(np.diff(c.offsets)), pa.array(removed), kept, lists], schema=_OUT)
