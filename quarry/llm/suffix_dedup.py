@@ -31,6 +31,7 @@ from .text import _P, _Q, _R, BYTE_CODES, buffer_of, cover, mix, range_hash, sli
 WINDOW, GRAM, TRIGGER = 50, 24, 8
 PHRASE_BITS, PARSE_BITS = 7, 5  # a trigger in 2**bits places: of documents, of what is sorted
 CHUNK = 1 << 19
+BLOCK_BYTES = 4 << 20
 _NONE = np.int64(np.iinfo(np.int64).max)
 OUT = "doc_id long, n_bytes long, n_removed long, kept binary, spans array<struct<start:int,end:int>>"
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
@@ -270,7 +271,7 @@ class Block:
         return out
 
 
-def remove_earlier_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = X.BLOCK_BYTES) -> DataFrame:
+def remove_earlier_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: its bytes, the number removed, the kept bytes and the removed byte ranges.
 
     A byte goes if a string of `window` bytes that covers it also starts in a document of smaller id.
