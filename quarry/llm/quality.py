@@ -9,7 +9,9 @@ the same words as the longest repeats of all suffixes, overlaps included.
 Verdict: a document fails if spans of repeats of at least `min_words` words cover more than
 `max_covered` of its words, or if its longest repeat has more than `max_longest` words. The base
 rules fail a document of under `min_total` words, or one with over 30 % of its words in repeated
-8-word windows.
+8-word windows. The verdict's own limits look where these do not: `min_words` is below 8, so that
+words or short phrases said again and again count, and `max_longest` fails a passage that comes twice
+in a text too long for it to be 30 %.
 
 Defined results: a null or empty text has no words and fails; ids may be null or repeated, each row
 is judged by itself; whole texts are used whatever their length.
@@ -37,9 +39,9 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 class Limits:
     min_total: int = 20
     repeat_percent: int = 30
-    min_words: int = 12
-    max_covered: float = 0.3
-    max_longest: int = 200
+    min_words: int = 4
+    max_covered: float = 0.5
+    max_longest: int = 50
 
 
 def longest_repeats(words: Words) -> np.ndarray:

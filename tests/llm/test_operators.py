@@ -140,6 +140,28 @@ def test_quality(docs, rows):
     assert {r.longest_repeat for r in got if r.doc_id == 1002} == {60}
 
 
+def test_quality_limits_beyond_the_base_rules(spark):
+    def plain(n, seed):
+        return prose(n, seed, 10**6)
+
+    passage = plain(51, 60)
+    texts = {
+        "stutter": " ".join(f"w{i} " * 7 for i in range(12)),  # repeats of 6 words: no 8-word window comes twice
+        "phrases": " ".join(f"a b c d e {x}" for x in plain(40, 61).split()),
+        "passage": f"{plain(300, 62)} {passage} {plain(300, 63)} {passage}",
+        "shorter passage": f"{plain(300, 62)} {passage.rsplit(' ', 1)[0]} {plain(300, 63)} {passage.rsplit(' ', 1)[0]} {plain(1, 64)}",
+        "half": "a b c d " + plain(8, 65) + " a b c d " + plain(8, 66),
+        "long": plain(20000, 67),
+        "clean": plain(100, 68),
+    }
+    docs = spark.createDataFrame([(i, name, t) for i, (name, t) in enumerate(texts.items())], "doc_id long, source string, text string")
+    got = {list(texts)[r.doc_id]: r for r in quality.quality(docs).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {name for name, r in got.items() if not r.kept} == {"stutter", "phrases", "passage"}
+    assert got["stutter"].n_covered_words == 84 and got["phrases"].n_covered_words == 200 and got["passage"].longest_repeat == 51
+    assert {r.source for r in quality.keep_good(docs).collect()} == set(texts) - {"stutter", "phrases", "passage"}
+
+
 def test_longest_repeats():
     r = random.Random(2)
     for _ in range(100):
