@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quarry.llm import language_id, near_dedup, packing, quality, suffix_dedup
 from quarry.llm.shared import written
@@ -24,15 +25,20 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near-duplicate five-word shingle sets, the one with the smallest id stays.
+    """Of rows linked by near-duplicate five-word shingle sets, the one with the smallest id stays, one without an id only if none has any.
 
-    Repeated rows of one id count as one document: they stay or go together, and one of them stays.
+    Repeated rows of one id count as one document: one of them stays.
     """
-    found = near_dedup.near_duplicates(spark, docs.select("doc_id", "text"))
-    kept = found.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    judged = near_dedup.classes(spark, docs)
+    words = F.col("n_shingles") > 0
+    alone = F.when(~words, F.struct("doc_id", "key"))  # rows without words are linked with nothing
+    groups = judged.groupBy(F.when(words, F.col("class")).alias("class"), alone.alias("alone"))
+    first = groups.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    chosen = first.select(F.col("first.doc_id").alias("chosen_id"), F.col("first.key").alias("chosen_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (near_dedup.row_key("doc_id", "text") == F.col("chosen_key"))
+    stay = docs.join(chosen, same, "left_semi")
     named = stay.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(stay.filter("doc_id is null").dropDuplicates(["text"])) if _has_null(stay) else named
+    return named.unionByName(stay.filter("doc_id is null").dropDuplicates(["text"])) if _has_null(docs) else named
 
 
 def _has_null(docs: DataFrame) -> bool:
@@ -41,19 +47,20 @@ def _has_null(docs: DataFrame) -> bool:
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of 50-byte strings that an earlier document holds go; a character of which a byte goes goes whole."""
-    cut = suffix_dedup.remove_earlier_bytes(spark, docs)
+    others = [c for c in docs.columns if c != "text"]
+    cut = suffix_dedup.remove_earlier_bytes(spark, docs, carry=others)
+    carried = cut.select("kept", *(f"carried_{i}" for i in range(len(others))))
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [(b or b"").decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(kept, pa.string())], names=["cut_id", "cut_text"])
+            yield pa.record_batch([pa.array(kept, pa.string()), *batch.columns[1:]], names=["text", *batch.schema.names[1:]])
 
-    new = cut.mapInArrow(text, "cut_id long, cut_text string")
-    out = docs.join(new, F.col("doc_id").eqNullSafe(F.col("cut_id")), "left")
-    changed = {"text": F.coalesce("cut_text", "text")}
+    new = carried.mapInArrow(text, StructType([StructField("text", StringType()), *carried.schema.fields[1:]]))
+    out = new.select("text", *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(others)))
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.length(F.coalesce("cut_text", "text")).cast("long")
-    return out.withColumns(changed).select(*docs.columns).filter("text <> ''")
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns).filter("text <> ''")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

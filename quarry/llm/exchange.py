@@ -9,7 +9,7 @@ Both numbers follow from the corpus's bytes, so a block or a shard has the same
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import numpy.typing
@@ -30,10 +30,11 @@ def blocks_for(size: int, block_bytes: int = BLOCK_BYTES) -> int:
     return max(1, -(-size // block_bytes))
 
 
-def in_blocks(docs: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
-    """(block, id, text). Equal rows share a block; the rest is dealt evenly."""
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return picked.select(F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int").alias("block"), "id", "text").repartition(n, "block")
+def in_blocks(docs: DataFrame, id_col: str, text: str, n: int, carry: Sequence[str] = ()) -> DataFrame:
+    """(block, id, text, carried_0, carried_1, ...: the columns to carry). Equal ids and texts share a block; the rest is dealt evenly."""
+    carried = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *carried)
+    return picked.select(F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int").alias("block"), "*").repartition(n, "block")
 
 
 def packed(block: int, shards: int, kind: int, h1: np.ndarray, h2: np.ndarray, value: np.ndarray) -> pa.Table:

@@ -19,7 +19,8 @@ their maximum.
 
 Defined results: null and empty texts are linked with nothing and kept; shorter texts than a shingle
 are one shingle; a null id keeps its row in its class, but never names one unless the class has no
-other id (the class id is then null and the row kept); rows that repeat an id count one by one.
+other id (the class id is then null and the row kept); rows that repeat an id count one by one. A row
+is told apart from others by its id and text together, as neither alone is unique.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -115,7 +116,7 @@ _SKETCHED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles
 
 
 def sketch_documents(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
-    """(doc_id, key: the id or a hash in its place, n_shingles, node: hash of the whole set, registers, bands) of every row."""
+    """(doc_id, key: hash of id and text, n_shingles, node: hash of the whole set, registers, bands) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, "text"):
@@ -127,13 +128,13 @@ def sketch_documents(docs: DataFrame, id_col: str, text: str, k: int) -> DataFra
             band = mix(band.reshape(-1, BANDS) ^ _SEEDS[:BANDS]).view(np.int64)
             yield pa.record_batch([batch.column("id"), batch.column("key"), np.diff(at), node, pa.array([r.tobytes() for r in registers], pa.binary()), pa.array(list(band), pa.list_(pa.int64()))], schema=_SKETCHED)
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).withColumn("key", _key())
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).withColumn("key", row_key("id", "text"))
     return picked.mapInArrow(run, "doc_id long, key long, n_shingles long, node long, registers binary, bands array<long>")
 
 
-def _key():
-    """What finds a row's text again: its id, or for a null id a hash of the text."""
-    return F.coalesce("id", F.xxhash64("text"))
+def row_key(id_col: str, text: str) -> Column:
+    """What finds a row again, be its id null or repeated; rows equal in id and text share it."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text).cast("string"))
 
 
 def node_of(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -258,10 +259,13 @@ def _joined(nodes: DataFrame, threshold: float) -> DataFrame:
     return components(in_blocks(crowded, "bucket", buckets, BUCKET_BLOCK).mapInArrow(lambda b: near_links(b, threshold), "a long, b long"))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row: links are pairs with Jaccard >= percent / 100."""
+def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, key: see row_key, n_shingles, class) of every row: links are pairs with Jaccard >= percent / 100.
+
+    Rows without shingles are linked with nothing, whatever their class says.
+    """
     sketched = written(sketch_documents(docs, id_col, text, shingle), "sketches")
-    rows = sketched.select("doc_id", "n_shingles", "node")
+    rows = sketched.select("doc_id", "key", "n_shingles", "node")
     some = sketched.filter("n_shingles > 0")
     nodes = some.groupBy("node").agg(F.min("key").alias("key"))
     one = written(some.select("node", "n_shingles", "registers", "bands").dropDuplicates(["node"]), "nodes")
@@ -273,13 +277,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     crowds = merged.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1")
     clusters = written(merged.join(crowds.select("cluster"), "cluster"), "clusters")
     members = clusters.join(nodes, "node").join(one.select("node", "registers"), "node")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).select(_key().alias("key"), "text")
-    # rows that repeat an id bring a text each: equal ones are one again before they meet in a cluster
+    texts = docs.select(row_key(id_col, text).alias("key"), F.col(text).cast("string").alias("text"))
+    # rows equal in id and text bring a text each: they are one again before they meet in a cluster
     with_text = members.join(texts, "key").select("cluster", "node", "registers", "text").dropDuplicates(["node", "text"])
     counts = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
     links = in_blocks(with_text, "cluster", counts, CLUSTER_BLOCK).mapInArrow(lambda b: verified_links(b, shingle, percent), "a long, b long")
-    classes = components(links)
-    named = rows.join(classes, "node", "left").withColumn("class", F.coalesce("label", "node"))
+    return rows.join(components(links), "node", "left").select("doc_id", "key", "n_shingles", F.coalesce("label", "node").alias("class"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row: links are pairs with Jaccard >= percent / 100."""
+    named = classes(spark, docs, id_col, text, shingle, percent)
     ids = named.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     out = named.join(ids, "class", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -18,11 +18,14 @@ nothing; rows that repeat an id are one document's copies and remove nothing fro
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from . import exchange as X
 from .suffix import prefix_free_order
@@ -43,6 +46,7 @@ class Chunk:
     def __init__(self, batch: pa.RecordBatch, window: int):
         self.window = window
         self.ids = batch.column("id")
+        self.carried = [batch.column(c) for c in batch.schema.names if c.startswith("carried_")]
         self.raw, self.offsets = buffer_of(batch.column("text"))
         self.id = np.array(self.ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64)
         self.named = np.array(self.ids.is_valid().to_numpy(zero_copy_only=False), bool)
@@ -271,15 +275,18 @@ class Block:
         return out
 
 
-def remove_earlier_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: its bytes, the number removed, the kept bytes and the removed byte ranges.
+def remove_earlier_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: Sequence[str] = ()) -> DataFrame:
+    """Per row: its bytes, the number removed, the kept bytes and the removed byte ranges; then the columns to carry, as carried_0, carried_1, ...
 
     A byte goes if a string of `window` bytes that covers it also starts in a document of smaller id.
+    A row's other columns come along, as an id that is null or repeated does not find its row again.
     """
     if not 2 * GRAM <= window < GRAM + 63:
         raise ValueError(f"windows need {2 * GRAM} to {GRAM + 62} bytes")
     n = X.blocks_for(X.text_bytes(docs, text), block_bytes)
-    dealt = X.in_blocks(docs, id_col, text, n)
+    dealt = X.in_blocks(docs, id_col, text, n, carry)
+    types = StructType([*StructType.fromDDL(OUT), *(f for f in dealt.schema if f.name.startswith("carried_"))])
+    schema = pa.schema([*_OUT, *list(to_arrow_schema(types))[len(_OUT) :]])
 
     def ask_phrases(table: pa.Table) -> pa.Table:
         return X.packed(table.column("block")[0].as_py(), n, 0, *Block(table, None, window).phrases())
@@ -314,7 +321,7 @@ def remove_earlier_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "do
 
     def finish(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _OUT.empty_table()
+            return schema.empty_table()
         block = Block(table, told, window)
         found = block.candidates()
         least = smallest_in_block([(c, f[1]) for c, f in zip(block.chunks, found, strict=True)], window)
@@ -325,7 +332,7 @@ def remove_earlier_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "do
             at = X.found(h1, h2, gram, contexts(c, places, gram, window)[1])
             places, bits = places[at >= 0], mask[at[at >= 0]]
             gone += [places[(bits >> back) & 1 > 0] - back for back in range(window - GRAM + 1)]
-            out.append(_kept(c, cover(np.concatenate(gone), window, len(c.raw))))
+            out.append(_kept(c, cover(np.concatenate(gone), window, len(c.raw)), schema))
         return pa.concat_tables(out)
 
     def smallest(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -343,10 +350,10 @@ def remove_earlier_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "do
     anchors = X.answers(by_block.cogroup(phrases.groupBy("block")).applyInArrow(ask_anchors, X.ASK), np.int64, X.by_string(shared))
     known = phrases.unionByName(anchors)
     windows = X.answers(by_block.cogroup(known.groupBy("block")).applyInArrow(ask_windows, X.ASK), context_type(window), earlier_windows(window))
-    return by_block.cogroup(known.unionByName(windows).groupBy("block")).applyInArrow(finish, OUT)
+    return by_block.cogroup(known.unionByName(windows).groupBy("block")).applyInArrow(finish, types)
 
 
-def _kept(c: Chunk, gone: np.ndarray) -> pa.Table:
+def _kept(c: Chunk, gone: np.ndarray, schema: pa.Schema) -> pa.Table:
     n_docs = len(c.offsets) - 1
     total = np.concatenate([[0], np.cumsum(gone)])
     removed = total[c.offsets[1:]] - total[c.offsets[:-1]]
@@ -360,7 +367,7 @@ def _kept(c: Chunk, gone: np.ndarray) -> pa.Table:
     owner = c.doc_of(s)
     spans = pa.StructArray.from_arrays([pa.array((s - c.offsets[owner]).astype(np.int32)), pa.array((e - c.offsets[owner]).astype(np.int32))], ["start", "end"])
     lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n_docs + 1)).astype(np.int32)), spans)
-    return pa.table([c.ids, pa.array(np.diff(c.offsets)), pa.array(removed), kept, lists], schema=_OUT)
+    return pa.table([c.ids, pa.array(np.diff(c.offsets)), pa.array(removed), kept, lists, *c.carried], schema=schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

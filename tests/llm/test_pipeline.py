@@ -1,6 +1,7 @@
 """The stages one after another on the smallest tables, each against what it may and must do."""
 
 import collections
+import random
 import re
 
 import pytest
@@ -56,6 +57,41 @@ def test_stages(spark):
     assert set(tokens) == set(cut) and all(p.doc_tokens == tokens[p.doc_id] for p in pieces)
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(n, seed):
+    r = random.Random(seed)
+    return [f"w{r.randrange(10**6)}" for _ in range(n)]
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, "en", source, len(t) if t is not None else None) for i, t, source in rows], SCHEMA).repartition(3)
+
+
+def near_copy(text, seed):
+    w = text.split(" ")
+    w[len(w) // 2] = f"edit{seed}"
+    return " ".join(w)
+
+
+def test_near_dedup_of_rows_without_ids(spark):
+    a, b, c, d = (" ".join(words(200, seed)) for seed in range(4))
+    rows = [(5, a, "least"), (9, near_copy(a, 1), "copy"), (None, near_copy(a, 2), "null copy of a named one"), (None, b, "b"), (None, near_copy(b, 3), "b"), (None, b, "b"), (None, c, "c"), (7, d, "d"), (None, "", "empty"), (None, None, "null")]
+    out = pipeline.keep_one_of_each_group(spark, table(spark, rows), SF).collect()
+    assert sorted(r.source for r in out) == ["b", "c", "d", "empty", "least", "null"]
+
+
+def test_cut_passages_of_rows_without_ids(spark):
+    a, b = " ".join(words(60, 10)), " ".join(words(60, 11))
+    rows = [(1, a, "first"), (2, f"start {a}", "cut"), (3, b, "twice"), (3, f"{b} more", "twice"), (3, b, "twice"), *((None, f"{a} {i}", f"null {i}") for i in range(6)), (None, a, "null again"), (None, a, "null again"), (None, None, "gone")]
+    out = pipeline.cut_repeated_passages(spark, table(spark, rows), SF)
+    assert out.columns == table(spark, rows).columns
+    want = [(i, "start " if source == "cut" else t, source) for i, t, source in rows if source != "gone"]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.text, r.source)) for r in out.collect())
+    assert all(r.n_chars == len(r.text) and r.lang == "en" for r in out.collect())
+
+
 def test_run(spark):
     out = pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
