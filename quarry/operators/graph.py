@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,12 +74,13 @@ def most_calling(functions: DataFrame, n: int = 10) -> DataFrame:
     return brief(functions).orderBy(F.desc("call_count"), "file_path", "line_start", "id").limit(n)
 
 
-def call_tree(functions: DataFrame, deps: DataFrame, root: str, max_depth: int = 100) -> DataFrame:
+def call_tree(functions: DataFrame, deps: DataFrame, root: str) -> DataFrame:
     """(name, depth, known, id, callees): all names that the root reaches, each at its least depth.
 
     Breadth-first by name, a level a job: the frontier meets the edges of its names' first
-    definitions, and names seen before drop out. Levels are written to the checkpoint folder, so the
-    plan stays short. A name without a definition is a leaf.
+    definitions, and names seen before drop out, which ends cycles; the last level is the first empty
+    one, however deep. Levels are written to the checkpoint folder, so the plan stays short. A name
+    without a definition is a leaf.
     """
     first = functions.groupBy("name").agg(F.min_by(F.struct("id", "file_path", "line_start"), F.struct("file_path", "line_start", "id")).alias("d")).select("name", F.col("d.id").alias("id"))
     if not first.filter(F.col("name") == root).limit(1).count():
@@ -87,7 +90,7 @@ def call_tree(functions: DataFrame, deps: DataFrame, root: str, max_depth: int =
 
     step = checkpointed(step)
     seen = frontier = first.filter(F.col("name") == root).select("name", F.lit(0).alias("depth"))
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         reached = step.join(frontier.select(F.col("name").alias("caller")), "caller", "left_semi").select(F.col("callee_name").alias("name")).distinct()
         frontier = checkpointed(reached.join(seen, "name", "left_anti").withColumn("depth", F.lit(depth)))
         if not frontier.limit(1).count():

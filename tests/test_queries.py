@@ -50,6 +50,16 @@ def test_call_tree_survives_cycles(spark):
     assert out == {"a": (0, True, "b"), "b": (1, True, "a,ext"), "ext": (2, False, "")}
 
 
+def test_call_tree_of_a_deep_chain(spark):
+    from quarry.operators.graph import call_tree
+
+    n = 105
+    f = spark.createDataFrame([(i, f"f{i}", "x", i) for i in range(n)], "id long, name string, file_path string, line_start int").coalesce(1)
+    d = spark.createDataFrame([(i, f"f{i + 1}") for i in range(n)], "caller_id long, callee_name string").coalesce(1)
+    out = {r.name: (r.depth, r.known) for r in call_tree(f, d, "f0").collect()}
+    assert out == {f"f{i}": (i, i < n) for i in range(n + 1)}
+
+
 def test_entry_points():
     import __spark_entry__ as entry
 
