@@ -27,22 +27,21 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows linked by near-duplicate five-word shingle sets, the one with the smallest id stays, one without an id only if none has any.
 
-    Repeated rows of one id count as one document: one of them stays.
+    Rows of one id with unlinked texts all stay. Of rows linked and equal in id the least hash of the text decides, of rows equal
+    in text too the least of the other columns.
     """
     judged = near_dedup.classes(spark, docs)
     words = F.col("n_shingles") > 0
     alone = F.when(~words, F.struct("doc_id", "key"))  # rows without words are linked with nothing
-    groups = judged.groupBy(F.when(words, F.col("class")).alias("class"), alone.alias("alone"))
-    first = groups.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
-    chosen = first.select(F.col("first.doc_id").alias("chosen_id"), F.col("first.key").alias("chosen_key"))
+    rows = judged.groupBy(F.when(words, F.col("class")).alias("class"), alone.alias("alone"), "doc_id", "key").agg(F.count("*").alias("n"))
+    first = rows.groupBy("class", "alone").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "n")).alias("first"))
+    chosen = written(first.select(F.col("first.doc_id").alias("chosen_id"), F.col("first.key").alias("chosen_key"), F.col("first.n").alias("chosen_n")), "chosen")
     same = F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (near_dedup.row_key("doc_id", "text") == F.col("chosen_key"))
-    stay = docs.join(chosen, same, "left_semi")
-    named = stay.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(stay.filter("doc_id is null").dropDuplicates(["text"])) if _has_null(docs) else named
-
-
-def _has_null(docs: DataFrame) -> bool:
-    return bool(docs.filter("doc_id is null").limit(1).count())
+    stay = docs.join(chosen, same)
+    if not chosen.filter("chosen_n > 1").limit(1).count():
+        return stay.select(*docs.columns)
+    equal = stay.filter("chosen_n > 1").groupBy("doc_id", "text").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return stay.filter("chosen_n = 1").select(*docs.columns).unionByName(equal.select("row.*"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,6 +82,14 @@ def test_near_dedup_of_rows_without_ids(spark):
     assert sorted(r.source for r in out) == ["b", "c", "d", "empty", "least", "null"]
 
 
+def test_near_dedup_of_repeated_ids(spark):
+    a, b, c = (" ".join(words(200, seed)) for seed in range(20, 23))
+    rows = [(3, a, "a"), (3, b, "b"), (3, near_copy(b, 1), "b"), (4, c, "z"), (4, c, "y"), (4, c, "z"), (8, near_copy(a, 2), "copy"), (8, c, "copy")]
+    for some in (rows, rows[::-1]):
+        out = pipeline.keep_one_of_each_group(spark, table(spark, some), SF).collect()
+        assert sorted((r.doc_id, r.source) for r in out) == [(3, "a"), (3, "b"), (4, "y")]
+
+
 def test_cut_passages_of_rows_without_ids(spark):
     a, b = " ".join(words(60, 10)), " ".join(words(60, 11))
     rows = [(1, a, "first"), (2, f"start {a}", "cut"), (3, b, "twice"), (3, f"{b} more", "twice"), (3, b, "twice"), *((None, f"{a} {i}", f"null {i}") for i in range(6)), (None, a, "null again"), (None, a, "null again"), (None, None, "gone")]
