@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 #: Other names of languages.
 ALIASES = {"py": "python", "js": "javascript", "ts": "typescript", "kt": "kotlin", "cpp": "cpp", "cs": "csharp", "rs": "rust", "rb": "ruby"}
+#: Fixed value: what counts as a call in text without a syntax tree.
 CALL = r"(?:(\w+)\.)?(\w+)\s*\("
+#: Strings and comments of C-like languages.
+C_LIKE_OPAQUE = r"""(?s)/\*.*?(?:\*/|\z)|//[^\n]*|"[^"\\\n]*(?:\\.[^"\\\n]*)*"?|'[^'\\\n]*(?:\\.[^'\\\n]*)*'?|`[^`]*`?"""
+_WORD = r"[\p{L}\p{N}_]"
+LEXED_CALL = rf"(?:({_WORD}+)\.)?({_WORD}+)[ \t\r\n\f]*\("
 
 
 def indent(line: Column) -> Column:
@@ -34,6 +39,17 @@ def calls(text: Column) -> Column:
     return F.filter(pairs, lambda x: F.length(x["name"]) > 1)
 
 
+def without_strings(text: Column) -> Column:
+    """The text with a blank for each string and comment of a C-like language."""
+    return F.regexp_replace(text, C_LIKE_OPAQUE, " ")
+
+
+def lexed_calls(clean: Column, skip: list[str]) -> Column:
+    """array<string> of the callees in text without strings and comments, one a call; `skip` and names of one character are no calls unless a dot precedes them or they are longer."""
+    pairs = F.zip_with(F.regexp_extract_all(clean, F.lit(LEXED_CALL), F.lit(1)), F.regexp_extract_all(clean, F.lit(LEXED_CALL), F.lit(2)), lambda p, n: F.struct(p.alias("prefix"), n.alias("name")))
+    return F.transform(F.filter(pairs, lambda x: (F.length(x["name"]) > 1) & ((x["prefix"] != "") | ~x["name"].isin(skip))), lambda x: x["name"])
+
+
 def paren_depth(text: Column) -> Column:
     """The most parentheses open at once."""
     marks = F.regexp_replace(text, r"[^()]", "")
@@ -65,16 +81,7 @@ def is_upper(name: Column) -> Column:
     return (F.upper(name) == name) & (name != "")
 
 
-def go_type(value: Column) -> Column:
-    """The type of a Go value, by ordered rules."""
-    return (
-        F.when(value.rlike(r'^\s*["`]'), "string").when(value.rlike(r"^\s*'"), "rune").when(F.trim(value).isin("true", "false"), "bool").when(F.trim(value) == "nil", "untyped nil")
-        .when(value.rlike(r"^\s*[-+]?[0-9]") & value.rlike("[.eE]"), "float64").when(value.rlike(r"^\s*[-+]?[0-9]"), "int")
-        .when(value.rlike(r"^\s*&?[\w.\[\]*]+\s*\{"), F.regexp_extract(value, r"^\s*&?([\w.\[\]*]+)\s*\{", 1)).when(value.rlike(r"^\s*func\b"), "func").when(value.rlike(r"^\s*[\w.]+\s*\("), F.regexp_extract(value, r"^\s*([\w.]+)\s*\(", 1)).otherwise("")
-    )
-
-
 def control_share(text: Column, head: int = 512) -> Column:
-    """The share of control characters, tabs and line ends aside, among the first `head` characters."""
-    first = F.substring(text, 1, head)
-    return F.when(F.length(first) > 0, F.length(F.regexp_replace(first, r"[^\x00-\x08\x0B\x0C\x0E-\x1F]", "")) / F.length(first)).otherwise(0.0)
+    """The share of control characters, tabs and line ends aside, among the first `head` bytes in UTF-8."""
+    pairs = F.regexp_extract_all(F.hex(F.substring(F.encode(text, "UTF-8"), 1, head)), F.lit("(..)"), F.lit(1))
+    return F.when(F.size(pairs) > 0, F.size(F.filter(pairs, lambda x: (x < "20") & ~x.isin("09", "0A", "0D"))) / F.size(pairs)).otherwise(0.0)

@@ -25,20 +25,21 @@ def functions_of(text: str, path: str, language: Language) -> list[dict]:
         name = m.groupdict().get("name")
         if not name or (name in lex.CONTROL and language.name not in ("go", "ruby")):
             continue
-        end = _end(clean, text, m, language, lines)
-        if end is None:
+        found = _end(clean, m, language, lines)
+        if found is None:
             continue
+        opened, end = found
         start = m.start() + len(m.group()) - len(m.group().lstrip())
-        rows.append(_row(text, clean, path, package, language, name, start, end, m, lines))
+        rows.append(_row(text, clean, path, package, language, name, start, opened, end, m, lines))
     if language.name == "go":
         rows.sort(key=lambda r: r["is_method"])
     return rows
 
 
-def _end(clean: str, text: str, m: re.Match, language: Language, lines: lex.Lines) -> int | None:
-    """Where the function's body ends, or None for a declaration."""
+def _end(clean: str, m: re.Match, language: Language, lines: lex.Lines) -> tuple[int, int] | None:
+    """(where the function's body begins, where it ends), or None for a declaration."""
+    first = lines.of(m.start() + len(m.group()) - len(m.group().lstrip()))
     if language.body == "indent":
-        first = lines.of(m.start() + len(m.group()) - len(m.group().lstrip()))
         depth, last = lex.count_indent(lines.content(first)), first
         inside = clean.split("\n")
         for number in range(first + 1, len(lines) + 1):
@@ -50,27 +51,31 @@ def _end(clean: str, text: str, m: re.Match, language: Language, lines: lex.Line
                 last = number
             elif lines.content(number).strip() and lex.count_indent(lines.content(number)) > depth:
                 last = number
-        return lines.offset(last) + len(lines.content(last))
+        return m.end(), lines.offset(last) + len(lines.content(last))
     if language.body == "end":
-        return _ruby_end(clean, m.start(), lines)
-    try:
-        after = lex.match_in_blank(clean, clean.index("(", m.end() - 1), "()") + 1 if clean[m.end() - 1 : m.end()] == "(" else m.end()
-    except ValueError:
-        return None
-    opened = _body_at(clean, after)
-    if opened is None:
+        depth, rows = 0, clean.split("\n")
+        for number in range(first, len(lines) + 1):
+            depth += lex.end_depth(rows[number - 1], language.name)
+            if depth <= 0:
+                return m.end(), lines.offset(number) + len(lines.content(number))
         return None
     try:
-        return lex.match_in_blank(clean, opened) + 1
+        after = lex.match_in_blank(clean, clean.index("(", m.end() - 1), "()") + 1 if clean[m.end() - 1 : m.end()] == "(" else m.end()
+        opened = _body_at(clean, after, language)
+        if opened is None:
+            return None
+        if clean[opened] == "=":
+            return opened, _expression_end(clean, opened + 1, lex.count_indent(lines.content(first)))
+        return opened, lex.match_in_blank(clean, opened) + 1
     except ValueError:
         return None
 
 
-def _body_at(clean: str, at: int) -> int | None:
-    """The brace that opens a body after a parameter list; None if a statement ends before."""
-    depth = 0
-    for i in range(at, len(clean)):
-        c = clean[i]
+def _body_at(clean: str, at: int, language: Language) -> int | None:
+    """The brace, or the sign of equality, that opens a body after a parameter list; None if a statement ends before."""
+    depth, marks = 0, re.compile(r"=>|[()\[\]{;=\n]")
+    while m := marks.search(clean, at):
+        c, i, at = m.group(), m.start(), m.end()
         if c in "([":
             depth += 1
         elif c in ")]":
@@ -78,47 +83,56 @@ def _body_at(clean: str, at: int) -> int | None:
             if depth < 0:
                 return None
         elif depth == 0 and c == "{":
-            word = re.search(r"(\w+)\s*$", clean[at:i])
-            if word and word.group(1) in ("interface", "struct"):  # a result type
-                try:
-                    return _body_at(clean, lex.match_in_blank(clean, i) + 1)
-                except ValueError:
-                    return None
+            before = clean[:i].rstrip()
+            # a type: of a Go result, or of an object after a colon
+            if re.search(r"\b(?:interface|struct)$", before) or language.name == "typescript" and before[-1:] in ":|&<,":
+                at = lex.match_in_blank(clean, i) + 1
+                continue
             return i
-        elif depth == 0 and c in ";=" and clean[i : i + 2] not in ("=>",):
+        elif depth == 0 and c == "=" and language.expressions:
+            return i
+        elif depth == 0 and c in ";=":
+            return None
+        elif depth == 0 and c == "\n" and language.expressions and not re.match(r"\s*[{=:]", clean[i:]) and not clean[:i].rstrip().endswith((":", ",", "=>")):
             return None
     return None
 
 
-def _ruby_end(clean: str, at: int, lines: lex.Lines) -> int | None:
-    first, depth = lines.of(at + len(clean[at:]) - len(clean[at:].lstrip())), 0
-    rows = clean.split("\n")
-    for number in range(first, len(lines) + 1):
-        line = rows[number - 1]
-        depth += lex.opens_ruby_block(line) or bool(re.search(r"\b(?:function|then|do|repeat)\b", line) and not re.search(r"\bdo\b", line) and "function" in line)
-        depth -= len(re.findall(r"(?:^|[\s;])end\b", line))
-        if depth <= 0:
-            return lines.offset(number) + len(lines.content(number))
-    return None
+def _expression_end(clean: str, at: int, indent: int) -> int:
+    """Where an expression ends that begins at `at`: at a line end outside brackets after which no deeper line and no operator goes on."""
+    depth, start = 0, at
+    for m in re.compile(r"[(\[{)\]}\n;]").finditer(clean, at):
+        c, i = m.group(), m.start()
+        if c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+            if depth < 0:
+                return start + len(clean[start:i].rstrip())
+        elif depth == 0 and clean[start:i].strip():
+            following = re.match(r"\s*\n([ \t]*)(\S\w*)?", clean[i:]) if c == "\n" else None
+            goes_on = following and following.group(2) and (lex.count_indent(following.group(1)) > indent or following.group(2) in ("else", "catch", "finally") or following.group(2)[0] in ".?:&|+-*/")
+            if not goes_on:
+                return start + len(clean[start:i].rstrip())
+    return start + len(clean[start:].rstrip())
 
 
-def _row(text: str, clean: str, path: str, package: str, language: Language, name: str, start: int, end: int, m: re.Match, lines: lex.Lines) -> dict:
+def _row(text: str, clean: str, path: str, package: str, language: Language, name: str, start: int, opened: int, end: int, m: re.Match, lines: lex.Lines) -> dict:
     go = language.name == "go"
     body = text[start:end]
-    opened = clean.find("(", m.end() - 1)
-    calls = lex.call_stats(clean[(clean.find("{", start, end) if language.body == "brace" else m.end()) : end], lex.GO_BLACKLIST if go else lex.CONTROL, language.syntax, qualified=go)
+    calls = lex.call_stats(clean[opened:end], lex.GO_BLACKLIST if go else lex.CONTROL, language.syntax, qualified=go, least=1 if language.built_in else 2)
     row = {
         "name": name, "package_name": package, "language": language.name, "file_path": path, "line_start": lines.of(start), "line_end": lines.of(max(start, end - 1)), "body": body,
         "dependencies": calls.names, "call_count": calls.count, "nesting_depth": lex.call_nesting(clean[m.end() : end]), "parameters": "", "return_types": "", "receiver": "", "is_method": False,
         "visibility": "", "cyclomatic": 0, "parameter_count": 0, "return_count": 0, "statement_count": 0, "anonymous_funcs": 0,
     }
     if go:
-        close = lex.match_in_blank(clean, opened, "()")
-        brace = _body_at(clean, close + 1)
-        inner = clean[brace:end]
-        parameters = text[opened + 1 : close].strip()
+        first = clean.find("(", m.end() - 1)
+        close = lex.match_in_blank(clean, first, "()")
+        inner = clean[opened:end]
+        parameters = text[first + 1 : close].strip()
         row |= {
-            "parameters": f"({parameters})", "return_types": text[close + 1 : brace].strip(), "receiver": (m.groupdict().get("receiver") or "").strip(), "is_method": bool(m.groupdict().get("receiver")),
+            "parameters": f"({parameters})", "return_types": text[close + 1 : opened].strip(), "receiver": (m.groupdict().get("receiver") or "").strip(), "is_method": bool(m.groupdict().get("receiver")),
             "visibility": "private" if name[0].islower() and name[0].isascii() else "public", "cyclomatic": lex.cyclomatic(inner), "parameter_count": _parameter_groups(parameters),
             "return_count": len(re.findall(r"\breturn\b", inner)), "statement_count": lex.statements(inner), "anonymous_funcs": len(re.findall(r"\bfunc\s*\(", inner)),
         }
@@ -173,12 +187,15 @@ def _global(name: str, type_: str, language: str, package: str, path: str, line:
 
 
 def _depths(clean: str) -> list[int]:
-    out, depth = [], 0
-    for c in clean:
-        depth -= c in ")]}"
+    out, depth, at = [], 0, 0
+    for m in re.finditer(r"[(\[{)\]}]", clean):
+        out += [max(depth, 0)] * (m.start() - at)
+        opens = m.group() in "([{"
+        depth -= not opens
         out.append(max(depth, 0))
-        depth += c in "([{"
-    return out
+        depth += opens
+        at = m.end()
+    return out + [max(depth, 0)] * (len(clean) - at)
 
 
 def _go_globals(text: str, clean: str, path: str) -> list[dict]:

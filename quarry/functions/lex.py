@@ -11,6 +11,8 @@ from bisect import bisect_right
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+from quarry.functions import columns
+
 
 @dataclass(frozen=True)
 class Syntax:
@@ -22,6 +24,8 @@ class Syntax:
     raw: tuple[str, ...] = ("`",)  # without escapes, may span lines
     long: tuple[str, ...] = ()  # quotes that may span lines, with escapes
     cpp_raw: bool = False
+    rust_raw: bool = False
+    chars: bool = False  # one character between apostrophes; a lone apostrophe is no string
 
 
 C_LIKE = Syntax(cpp_raw=True)
@@ -29,8 +33,10 @@ PYTHON = Syntax(line=("#",), block=(), quotes=('"', "'"), raw=(), long=('"""', "
 RUBY = Syntax(line=("#",), block=(("=begin", "=end"),), quotes=('"', "'", "`"), raw=())
 LUA = Syntax(line=("--",), block=(("--[[", "]]"), ("[[", "]]")), quotes=('"', "'"), raw=())
 PHP = Syntax(line=("//", "#"), quotes=('"', "'"), raw=())
-RUST = Syntax(quotes=('"',), raw=())
-SCALA = Syntax(quotes=('"',), raw=(), long=('"""',))
+RUST = Syntax(quotes=(), raw=(), long=('"',), rust_raw=True, chars=True)
+SCALA = Syntax(quotes=('"',), raw=(), long=('"""',), chars=True)
+KOTLIN = Syntax(quotes=('"', "'"), raw=(), long=('"""',))
+SWIFT = Syntax(quotes=('"',), raw=(), long=('"""',))
 
 
 @lru_cache(maxsize=32)
@@ -38,6 +44,10 @@ def _scanner(s: Syntax) -> re.Pattern:
     parts = []
     if s.cpp_raw:
         parts.append(r'(?P<string0>\bR"(?P<delim>[^()\\\s]{0,16})\((?:.|\n)*?(?:\)(?P=delim)"|\Z))')
+    if s.rust_raw:
+        parts.append(r'(?P<string1>\bb?r(?P<hashes>#*)"(?:.|\n)*?(?:"(?P=hashes)|\Z))')
+    if s.chars:
+        parts.append(r"(?P<quotechar>'(?:\\(?:u\{[^}\n]*\}|u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|.)|[^'\\\n])')")
     for i, (a, b) in enumerate(sorted(s.block, key=lambda x: -len(x[0]))):
         parts.append(rf"(?P<block{i}>{re.escape(a)}(?:.|\n)*?(?:{re.escape(b)}|\Z))")
     parts += [rf"(?P<line{i}>{re.escape(a)}[^\n]*)" for i, a in enumerate(s.line)]
@@ -141,20 +151,23 @@ class Lines:
         return self.text[self.starts[line - 1] : end]
 
 
-CALL = re.compile(r"(?:(\w+)\.)?(\w+)\s*\(")
+CALL = re.compile(columns.CALL)
 
 #: Names that are not taken for calls of Go functions.
-GO_BLACKLIST = frozenset(
-    (
-        "if else for range switch case default break continue return go defer select var const type struct interface func map chan package import "
-        "make new append len cap copy delete close panic recover print println nil true false iota string int int8 int16 int32 int64 uint uint8 uint16 uint32 uint64 "
-        "float32 float64 complex64 complex128 bool byte rune uintptr any error Close Read Write Seek Stat Open Create OpenFile ReadFile WriteFile ReadAll ReadDir "
-        "Mkdir MkdirAll Remove RemoveAll Rename Scan Scanf Scanln Sscanf Split Join Contains HasPrefix HasSuffix Replace ReplaceAll Trim TrimSpace ToLower ToUpper Index LastIndex "
-        "Atoi Itoa ParseInt FormatInt ParseFloat Set Get Load Store LoadOrStore LoadAndDelete Error Errorf Wrap Wrapf Is As Unwrap Context Cancel Deadline Done Err "
-        "Marshal Unmarshal MarshalIndent Decode Encode Run Log Logf Fatal Fatalf Fail FailNow Skip Exec Query QueryRow Prepare Begin Commit Rollback Ping"
-    ).split()
-)
-CONTROL = frozenset("if for while switch return catch function func def fn elif else match with and or not in is lambda assert del print except raise yield sizeof typeof unless until when foreach".split())
+GO_BLACKLIST = frozenset([
+    "if", "else", "for", "range", "switch", "case", "default", "break", "continue", "return", "go", "defer", "select", "var", "const", "type", "struct", "interface", "func",
+    "map", "chan", "package", "import", "make", "new", "append", "len", "cap", "copy", "delete", "close", "panic", "recover", "print", "println", "nil", "true", "false", "iota",
+    "string", "int", "int8", "int16", "int32", "int64", "uint", "uint8", "uint16", "uint32", "uint64", "float32", "float64", "complex64", "complex128", "bool", "byte", "rune",
+    "uintptr", "any", "error", "Close", "Read", "Write", "Seek", "Stat", "Open", "Create", "OpenFile", "ReadFile", "WriteFile", "ReadAll", "ReadDir", "Mkdir", "MkdirAll",
+    "Remove", "RemoveAll", "Rename", "Scan", "Scanf", "Scanln", "Sscanf", "Split", "Join", "Contains", "HasPrefix", "HasSuffix", "Replace", "ReplaceAll", "Trim", "TrimSpace",
+    "ToLower", "ToUpper", "Index", "LastIndex", "Atoi", "Itoa", "ParseInt", "FormatInt", "ParseFloat", "Set", "Get", "Load", "Store", "LoadOrStore", "LoadAndDelete", "Error",
+    "Errorf", "Wrap", "Wrapf", "Is", "As", "Unwrap", "Context", "Cancel", "Deadline", "Done", "Err", "Marshal", "Unmarshal", "MarshalIndent", "Decode", "Encode", "Run", "Log",
+    "Logf", "Fatal", "Fatalf", "Fail", "FailNow", "Skip", "Exec", "Query", "QueryRow", "Prepare", "Begin", "Commit", "Rollback", "Ping",
+])
+CONTROL = frozenset([
+    "if", "for", "while", "switch", "return", "catch", "function", "func", "def", "fn", "elif", "else", "match", "with", "and", "or", "not", "in", "is", "lambda", "assert", "del",
+    "print", "except", "raise", "yield", "sizeof", "typeof", "unless", "until", "when", "foreach",
+])
 
 
 @dataclass
@@ -164,29 +177,26 @@ class Calls:
     depth: int
 
 
-def call_stats(body: str, skip: frozenset[str] = CONTROL, syntax: Syntax = C_LIKE, qualified: bool = False) -> Calls:
+def call_stats(body: str, skip: frozenset[str] = CONTROL, syntax: Syntax = C_LIKE, qualified: bool = False, least: int = 2) -> Calls:
     """Distinct callees in order of appearance, number of calls, and how deep parentheses nest.
 
-    A name of one character is no call; a name after a dot is taken even if `skip` has it, unless
-    `qualified` asks for both the plain and the dotted name (then `skip` holds for either).
+    A name of fewer than `least` characters is no call; a name after a dot is taken even if `skip` has
+    it, unless `qualified` asks for both the plain and the dotted name (then `skip` holds for either).
     """
     clean = blank(body, syntax)
     names: dict[str, None] = {}
     count = 0
     for prefix, name in CALL.findall(clean):
-        if len(name) < 2 or (name in skip and (not prefix or qualified)):
+        if len(name) < least or (name in skip and (not prefix or qualified)):
             continue
         count += 1
         names[name] = None
         if qualified and prefix:
             names[f"{prefix}.{name}"] = None
     depth = most = 0
-    for c in clean:
-        if c == "(":
-            depth += 1
-            most = max(most, depth)
-        elif c == ")":
-            depth = max(0, depth - 1)
+    for c in re.findall(r"[()]", clean):
+        depth = depth + 1 if c == "(" else max(0, depth - 1)
+        most = max(most, depth)
     return Calls(list(names), count, most)
 
 
@@ -235,9 +245,72 @@ def cyclomatic(clean: str, documented: bool = True) -> int:
     return n + len(re.findall(r"\brange\b", clean)) + len(re.findall(r"\bselect\b", clean)) + len(re.findall(r"\bcase\b[^:\n]*<-", clean))
 
 
+_GO_PIECE = re.compile(r"[{}()\[\];\n]|[^{}()\[\];\n]+")
+_HEAD = re.compile(r"(?:else\s+)?(if|for|switch|select)\b(.*)", re.S)
+
+
+def _simple_statement(piece: str) -> int:
+    """1 for a statement that counts; jumps and constants do not."""
+    piece = re.sub(r"^(?:case\b(?:(?!:(?!=)).)*|default\s*|\w+):(?!=)\s*", "", piece.strip(), flags=re.S)
+    return int(bool(piece) and not re.match(r"(?:break|continue|goto|fallthrough|const|else|case|default)\b", piece))
+
+
 def statements(clean: str) -> int:
-    """Lines with code in a body, the body itself included."""
-    return 1 + sum(1 for x in clean.split("\n") if re.search(r"\w", x))
+    """Statements and blocks of a Go body in braces, its own block included.
+
+    Simple statements in the head of an if, for or switch count, a range clause does not; nor do the
+    contents of composite literals, but the bodies of functions in them do.
+    """
+    count, frames = 0, [["block", "", 0, False]]  # kind, piece so far, open brackets, whether the piece has been counted
+
+    def ended(frame: list) -> int:
+        kind, piece, _, done = frame
+        frame[1], frame[3] = "", False
+        return 0 if kind == "other" or done else _simple_statement(piece.replace("\0", " "))
+
+    for m in _GO_PIECE.finditer(clean):
+        token, frame = m.group(), frames[-1]
+        if token == "{":
+            tail = frame[1].rsplit("\0", 1)[-1].strip()
+            head = _HEAD.match(re.sub(r"^(?:case\b(?:(?!:(?!=)).)*|default\s*|\w+):(?!=)\s*", "", tail, flags=re.S)) if frame[0] != "other" and not frame[2] else None
+            if re.search(r"\b(?:struct|interface)$", tail):
+                kind = "other"
+            elif re.search(r"\bfunc\b", tail):
+                kind = "block"
+            elif head:
+                kind = "arms" if head.group(1) in ("switch", "select") else "block"
+                parts = head.group(2).split(";")
+                count += 1 + sum(bool(re.search(r":?=(?!=)|\+\+|--", x)) and not re.search(r"\brange\b|[=!<>]=", x) for x in (parts[:1] + parts[2:] if len(parts) > 1 else []))
+                frame[3] = True
+            elif frame[0] != "other" and not frame[2] and (tail in ("", "else") or re.fullmatch(r"(?:case\b.*|default\s*|\w+):", tail, re.S)):
+                kind = "block"
+                frame[3] = True
+            else:
+                kind = "other"
+            count += kind == "block"
+            frames.append([kind, "", 0, False])
+        elif token == "}":
+            count += ended(frame)
+            if len(frames) > 1:
+                frames.pop()
+            frames[-1][1] += "\0"
+        elif token in "([":
+            frame[2] += 1
+            frame[1] += token
+        elif token in ")]":
+            frame[2] = max(0, frame[2] - 1)
+            frame[1] += token
+        elif token in ";\n" and not frame[2]:
+            piece = frame[1].rsplit("\0", 1)[-1].strip()
+            in_head = token == ";" and _HEAD.match(piece) and not frame[3]
+            goes_on = token == "\n" and re.search(r"[+\-*/%&|^<>=!,.]$", piece) and not piece.endswith(("++", "--"))
+            if in_head or goes_on:
+                frame[1] += token
+            else:
+                count += ended(frame)
+        else:
+            frame[1] += token
+    return count
 
 
 def split_top(text: str) -> list[str]:
@@ -263,3 +336,21 @@ def is_ruby_end(line: str) -> bool:
 
 def opens_ruby_block(line: str) -> bool:
     return bool(re.match(r"\s*(?:def|class|module|if|unless|case|begin|for|while|until)\b", line)) or bool(re.search(r"\bdo\b(?:\s*\|[^|]*\|)?\s*$", line))
+
+
+_RUBY_OPENS = re.compile(r"(?:^|[;=(\[,{|&!]|<<|\b(?:then|else|do|and|or|not|in|private|public|protected|private_class_method|module_function)\b)\s*(?:(?:if|unless|case|begin|class|module)\b|(?P<loop>while|until|for)\b|def\b(?P<sign>[^;]*))(?!\s*:)")
+_RUBY_DO = re.compile(r"(?<![.:\w])do\b(?!\s*:)")
+_END = re.compile(r"(?<![.:\w])end\b(?!\s*:)")
+
+
+def end_depth(line: str, language: str) -> int:
+    """By how much a line without strings and comments changes the number of blocks that `end` closes."""
+    closed = len(_END.findall(line))
+    if language == "lua":
+        return len(re.findall(r"\b(?:function|if|do)\b", line)) - closed
+    opened, loops = 0, 0
+    for m in _RUBY_OPENS.finditer(line):
+        endless = m.group("sign") is not None and re.match(r"\s+[\w.]+[?!]?\s*(?:\([^)]*\))?\s*=(?![=~])", m.group("sign"))
+        opened += not endless
+        loops += m.group("loop") is not None
+    return opened + max(0, len(_RUBY_DO.findall(line)) - loops) - closed

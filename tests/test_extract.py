@@ -4,7 +4,7 @@ import inspect
 import pytest
 
 from quarry.functions import extract, lex
-from quarry.sources.languages import LANGUAGES, by_extension, load_config, named
+from quarry.sources.languages import LANGUAGES, by_extension, load_config, named, registered
 
 LANG = {x.name: x for x in LANGUAGES}
 
@@ -52,7 +52,7 @@ SMALL = {
     "kotlin": ("val top = 1\nfun go(x: Int): Int { return add(x) }\n", ["go"], ["top"]),
     "php": ("<?php\n$top = 1;\nfunction go($x) { return add($x); }\n", ["go"], ["top"]),
     "lua": ("top = 1\nfunction M.go(x)\n  if x then\n    y(x)\n  end\nend\n", ["M.go"], ["top"]),
-    "scala": ("val top = 1\ndef go(x: Int): Int = { add(x) }\n", [], ["top"]),
+    "scala": ("val top = 1\ndef go(x: Int): Int = { add(x) }\n", ["go"], ["top"]),
     "erb": ("<% def card(x) %>\n<% if x %>\n<b><%= x %></b>\n<% end %>\n<% end %>\n<% def two %><% end %>\n", ["card", "two"], []),
 }
 
@@ -62,7 +62,7 @@ def test_go():
     assert [r["name"] for r in rows] == ["Add", "Map", "init", "sum"]
     add = rows[0]
     assert (add["line_start"], add["line_end"], add["package_name"]) == (14, 21, "shop")
-    assert add["dependencies"] == ["Sprintf", "fmt.Sprintf", "helper"] and add["call_count"] == 2
+    assert add["dependencies"] == ["Sprintf", "fmt.Sprintf", "helper", "f"] and add["call_count"] == 3 and add["statement_count"] == 11
     assert add["parameters"] == '(x, y int, s string)' and add["return_types"] == "(int, error)" and add["parameter_count"] == 2
     assert add["cyclomatic"] == 4 and add["return_count"] == 3 and add["anonymous_funcs"] == 1 and add["visibility"] == "public"
     assert rows[3]["is_method"] and rows[3]["receiver"] == "(c *Cart)" and rows[3]["visibility"] == "private"
@@ -74,12 +74,102 @@ def test_go():
 def test_languages(name):
     text, functions, variables = SMALL[name]
     rows = extract.functions_of(text, "f", LANG[name])
-    if name != "scala":
-        assert [r["name"] for r in rows] == functions
+    assert [r["name"] for r in rows] == functions
     assert [g["name"] for g in extract.globals_of(text, "f", LANG[name])] == variables
     assert all(r["body"] and 1 <= r["line_start"] <= r["line_end"] <= len(text.split("\n")) for r in rows)
 
 
+BODIES = {
+    "scala": ("""object A {
+  def go(x: Int): Int = { add(x) }
+  def two(y: Int) = { f(y) }
+  def three(z: Int): Int = z + g(z)
+  def four: Int = 4
+  def five(a: Int)(b: Int): Int =
+    h(a) +
+      b
+  def six(x: Int): Int
+  def seven() { print('{') }
+  val s = \"\"\" def no() = 1 \"\"\"
+  def eight[T](x: T): T => T = y => y
+}
+""", [("go", 2, 2, ["add"]), ("two", 3, 3, ["f"]), ("three", 4, 4, ["g"]), ("four", 5, 5, []), ("five", 6, 8, ["h"]), ("seven", 10, 10, []), ("eight", 12, 12, [])]),
+    "kotlin": ("""fun one(x: Int) = x + g(1)
+fun two(): Int {
+  return 1
+}
+interface I { fun no(x: Int): Int }
+fun three(x: Int): String = when (x) {
+  1 -> a()
+  else -> b()
+}
+fun String.four(): Int =
+    this.length
+""", [("one", 1, 1, ["g"]), ("two", 2, 4, []), ("three", 6, 9, ["a", "b"]), ("four", 10, 11, [])]),
+    "rust": ("""fn a(c: char) -> bool { c == '{' }
+fn b<'a>(x: &'a str) -> &'a str { x }
+fn c() { let s = r#"}"{"#; d('\\''); let t = "}
+{"; }
+trait T { fn no(&self) -> i32; }
+""", [("a", 1, 1, []), ("b", 2, 2, []), ("c", 3, 4, ["d"])]),
+    "typescript": ("""function a(): { b: number } {
+  return { b: c(1) };
+}
+function d(x: { y: string }): Promise<{ z: number }> { return e(); }
+declare function f(x: number): void;
+function g<T>(x: T): x is T { return true; }
+""", [("a", 1, 3, ["c"]), ("d", 4, 4, ["e"]), ("g", 6, 6, [])]),
+    "ruby": ("""def a(x)
+  y = if x
+    1
+  else
+    2
+  end
+  z = x.map do |q|
+    q
+  end
+  return unless y
+  puts "end" if z
+  while x do
+    x -= 1
+  end
+  self.class
+end
+def b = 3
+private def d
+  case 1
+  when 2 then foo(3)
+  end
+end
+""", [("a", 1, 16, []), ("b", 17, 17, []), ("d", 18, 22, ["foo"])]),
+    "lua": ("""function f(x)
+  for i=1,2 do
+    if x then y(i) elseif z then w() else v() end
+  end
+  repeat
+    q()
+  until x
+  local g = function() return 1 end
+end
+local function h() end
+""", [("f", 1, 9, ["y", "w", "v", "q"]), ("h", 10, 10, [])]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(BODIES))
+def test_where_bodies_end(name):
+    text, want = BODIES[name]
+    assert [(r["name"], r["line_start"], r["line_end"], r["dependencies"]) for r in extract.functions_of(text, "f", LANG[name])] == want
+
+
+@pytest.mark.parametrize(
+    "body,count",
+    [("{}", 1), ("{ a(); b() }", 3), ("{ if x := f(); x > 0 { return 1 } else if y { a() } else { b() } }", 10), ("{ for i := 0; i < 3; i++ { c() } }", 6), ("{\nfor k := range m {\n_ = k\ncontinue }\n}", 4), ("{ switch t := z.(type) {\ncase int:\n d()\ndefault: e()\n} }", 4), ("{ var q int\nw := []T{{1}, {2}}\ngo func() { g() }()\nch <- 1\ni++\nx = a +\n b\n}", 9), ("{ select { case <-c: return 2 } }", 3), ("{ f(func() error { return nil }, T{a: 1}) }", 4)],
+)
+def test_statements(body, count):
+    assert lex.statements(body) == count
+
+
 @pytest.mark.parametrize("text", ["", "package x\n", "// only\n/* comments */\n"])
 def test_nothing_to_find(text):
     assert extract.functions_of(text, "f.go", LANG["go"]) == [] and extract.globals_of(text, "f.go", LANG["go"]) == []
@@ -105,4 +195,6 @@ def test_config(tmp_path):
     (toy,) = load_config(str(tmp_path / "c.yaml"))
     assert toy.body == "brace" and by_extension((toy,)) == {".toy": toy}
     assert [r["name"] for r in extract.functions_of("proc run() { x1(); } # proc no() {}", "a.toy", toy)] == ["run"]
+    assert [x.name for x in registered((toy,))] == [*LANG, "toy"] and registered(LANGUAGES) == LANGUAGES
+    assert {LANG[x].root_node() for x in ("go", "rust", "scala")} == {"source_file"} and LANG["cpp"].root_node() == "translation_unit"
     assert named(["py", "JS", "nope"]) == {"python", "javascript"}
