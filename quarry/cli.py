@@ -1,7 +1,8 @@
 """Named modes over a scanned state folder, for a command line and for JSON-RPC calls.
 
-python -m quarry.cli scan ROOT STATE [--lang go,py] [--max-size N] [--skip-dirs a,b] [--full]
-python -m quarry.cli query STATE MODE[=PARAM]
+python -m quarry.cli scan ROOT STATE [--lang go,py] [--max-size N] [--skip-dirs a,b] [--full] [--config FILE] [--no-temp]
+python -m quarry.cli query STATE MODE[=PARAM] [--format json|text]
+python -m quarry.cli graph STATE          the report on the latest session's call graph
 python -m quarry.cli serve STATE          JSON-RPC requests on standard input, a line each
 """
 
@@ -62,6 +63,13 @@ TOOLS = {
     "high_complexity": ("complexity", "limit"), "many_params": ("params", "threshold"), "find_anonymous": ("anon", None), "file_metrics": ("files", None), "list_types": ("types", "kind"), "get_func_tree": ("tree", "name"),
 }
 RESOURCES = {"db://summary": "summary", "db://functions": "functions", "db://variables": "vars", "db://files": "files", "db://types": "types", "db://sessions/latest": "session"}
+ABOUT = {
+    "summary": "Totals over all sessions, with functions and variables by language", "functions": "All functions, or those of a language", "func": "Functions of exactly these names, comma separated", "body": "The body of one function, by id or name",
+    "vars": "Top-level variables, all or of a language", "deps": "Callers and callees of each function name", "calls": "Functions that call a name", "unreferenced": "Functions whose name no call has", "missing": "Callees without a function",
+    "top": "The longest functions", "deep": "Functions with calls nested at least so deep", "complexity": "The most complex functions", "params": "Functions with at least so many parameters", "anon": "Functions that hold anonymous ones",
+    "files": "Sums and maxima by file", "types": "Type definitions, all or of a kind", "tree": "All names that a function reaches, with their depth", "session": "The latest session",
+}
+PROTOCOL = "2024-11-05"
 
 
 def ask(relations, mode: str, param: str = "") -> DataFrame:
@@ -77,29 +85,57 @@ def to_json(rows: DataFrame) -> list:
     return [json.loads(x) for x in rows.toJSON().toLocalIterator()]
 
 
-def call(relations, request: dict) -> dict:
-    """The JSON-RPC answer to tools/list, tools/call, resources/list or resources/read; errors are answers too."""
-    method, params = request.get("method"), request.get("params") or {}
+def described(name: str) -> dict:
+    """A tool as tools/list names it: what it answers, and its argument as a JSON schema."""
+    mode, argument = TOOLS[name]
+    schema: dict = {"type": "object", "properties": {argument: {"type": "string"}} if argument else {}}
+    return {"name": name, "description": ABOUT[mode], "inputSchema": schema | ({"required": [argument]} if mode in REQUIRED else {})}
+
+
+def _answer(method: str, relations, params: dict) -> dict:
+    if method == "initialize":
+        return {"protocolVersion": params.get("protocolVersion") or PROTOCOL, "capabilities": {"tools": {}, "resources": {}, "logging": {}}, "serverInfo": {"name": "quarry", "version": "1"}}
+    if method == "ping":
+        return {}
+    if method == "tools/list":
+        return {"tools": [described(n) for n in TOOLS]}
+    if method == "tools/call":
+        mode, argument = TOOLS[params["name"]]
+        rows = to_json(ask(relations, mode, str((params.get("arguments") or {}).get(argument, "")) if argument else ""))
+        if mode == "body":
+            if not rows:
+                raise LookupError("no such function")
+            return {"content": [{"type": "text", "text": rows[0]["body"]}], "isError": False}
+        return {"content": [{"type": "text", "text": json.dumps(rows, ensure_ascii=False)}], "isError": False}
+    if method == "resources/list":
+        return {"resources": [{"uri": u, "name": m, "description": ABOUT[m], "mimeType": "application/json"} for u, m in RESOURCES.items()]}
+    if method == "resources/read":
+        uri = params["uri"]
+        return {"contents": [{"uri": uri, "mimeType": "application/json", "text": json.dumps(to_json(ask(relations, RESOURCES[uri])), ensure_ascii=False)}]}
+    raise NotImplementedError(method)
+
+
+def call(relations, request: dict) -> dict | None:
+    """The JSON-RPC answer to a request; None for a notification. What a tool cannot answer is a result that says so."""
+    method, params = str(request.get("method")), request.get("params") or {}
+    if "id" not in request:
+        return None
+    out = {"jsonrpc": "2.0", "id": request["id"]}
     try:
-        if method == "tools/list":
-            result = {"tools": [{"name": n, "arguments": [a] if a else []} for n, (_, a) in TOOLS.items()]}
-        elif method == "tools/call":
-            mode, argument = TOOLS[params["name"]]
-            result = {"content": to_json(ask(relations, mode, str((params.get("arguments") or {}).get(argument, "")) if argument else ""))}
-        elif method == "resources/list":
-            result = {"resources": list(RESOURCES)}
-        elif method == "resources/read":
-            result = {"contents": to_json(ask(relations, RESOURCES[params["uri"]]))}
-        else:
-            raise ValueError(f"no method {method!r}")
+        return out | {"result": _answer(method, relations, params)}
+    except NotImplementedError:
+        return out | {"error": {"code": -32601, "message": f"no method {method!r}"}}
     except (KeyError, ValueError, LookupError) as e:
-        result = {"isError": True, "content": f"{type(e).__name__}: {e}"}
-    return {"jsonrpc": "2.0", "id": request.get("id"), "result": result}
+        if method != "tools/call":
+            return out | {"error": {"code": -32602, "message": f"{type(e).__name__}: {e}"}}
+        return out | {"result": {"isError": True, "content": [{"type": "text", "text": f"{type(e).__name__}: {e}"}]}}
 
 
 def main(argv: list[str] | None = None) -> None:
+    from quarry.plans.report import graph_report, text_table
     from quarry.plans.scan import Options, Scanned, scan
     from quarry.sources.files import MAX_SIZE, check_root
+    from quarry.sources.languages import LANGUAGES, load_config, registered
 
     parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = parser.add_subparsers(dest="command", required=True)
@@ -110,23 +146,33 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--max-size", type=int, default=MAX_SIZE)
     p.add_argument("--skip-dirs", default="")
     p.add_argument("--full", action="store_true")
+    p.add_argument("--config", default="")
+    p.add_argument("--no-temp", action="store_true")
     p = sub.add_parser("query")
     p.add_argument("state")
     p.add_argument("mode")
+    p.add_argument("--format", choices=["json", "text"], default="json")
+    sub.add_parser("graph").add_argument("state")
     sub.add_parser("serve").add_argument("state")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("quarry").getOrCreate()
     if args.command == "scan":
         comma = lambda s: [x for x in s.split(",") if x.strip()] or None
-        print(scan(spark, check_root(args.root), args.state, Options(comma(args.lang), args.max_size, comma(args.skip_dirs), False if args.full else None)))
+        languages = registered(load_config(args.config)) if args.config else LANGUAGES
+        options = Options(comma(args.lang), args.max_size, comma(args.skip_dirs), False if args.full else None, languages)
+        print(scan(spark, check_root(args.root, not args.no_temp), args.state, options))
     elif args.command == "query":
         mode, _, param = args.mode.partition("=")
-        print(json.dumps(to_json(ask(Scanned(spark, args.state), mode, param)), indent=2, ensure_ascii=False))
+        answer = ask(Scanned(spark, args.state), mode, param)
+        print(json.dumps(to_json(answer), indent=2, ensure_ascii=False) if args.format == "json" else text_table(answer.columns, to_json(answer)))
+    elif args.command == "graph":
+        relations = Scanned(spark, args.state)
+        print(graph_report(relations.functions, relations.deps))
     else:
         relations = Scanned(spark, args.state)
         for line in sys.stdin:
-            if line.strip():
-                print(json.dumps(call(relations, json.loads(line)), ensure_ascii=False), flush=True)
+            if line.strip() and (answer := call(relations, json.loads(line))) is not None:
+                print(json.dumps(answer, ensure_ascii=False), flush=True)
 
 
 if __name__ == "__main__":

@@ -14,23 +14,25 @@ from quarry.schemas import BRIEF
 TIES = ["file_path", "line_start", "id"]
 
 #: Package prefixes and call names taken for standard library calls in the missing report.
-STD_PREFIXES = (
-    "fmt. os. strings. bytes. time. sync. sort. regexp. flag. strconv. io. math. path. filepath. unicode. encoding. database/ context. hash. log. net. http. crypto. json. xml. bufio. embed. "
-    "errors. reflect. runtime. syscall. testing."
-).split()
-
-KNOWN_CALLS = (
-    "Print Printf Println Fprintf Sprintf Sscanf Sprint Sprintln Errorf Fprint Fprintln Open Read Write Close Stat ReadFile WriteFile ReadDir Mkdir "
-    "MkdirAll Remove RemoveAll Rename Chdir Chmod Getwd TempDir Executable Exit IsNotExist IsExist SameFile Stdin Stdout Stderr Split Join Contains "
-    "HasPrefix HasSuffix Replace ReplaceAll Trim TrimSpace TrimRight TrimLeft TrimPrefix ToLower ToUpper Index IndexByte LastIndex Count Atoi Itoa ParseInt "
-    "ParseFloat FormatInt ParseBool NewBuffer NewReader Buffer Bytes Grow WriteByte WriteString Sleep Since Now Duration Second Millisecond Wait Add Done "
-    "NewWaitGroup Lock Unlock RWMutex Mutex Once Pool Slice Strings Float64s Search SearchStrings MustCompile Compile FindAllStringSubmatch "
-    "FindStringSubmatchIndex StringVar BoolVar Int64Var IntVar Arg NArg Parse Append Cap Len Make New Copy Delete Error Err NewError QueryRow Query Exec "
-    "Prepare Scan Rows Stmt Tx Valid IsLetter IsUpper IsDigit IsSpace NewScanner NewDelimiter NewEncoder NewDecoder Marshal Unmarshal MarshalIndent New128a "
-    "New128 New64 New64a Sum Fatal Fatalf Logf Log Fail FailNow Run Helper Short Background TODO WithCancel WithTimeout WithDeadline Listen Dial Accept "
-    "Handler HandleFunc Serve Rel Dir Base Ext Abs ToSlash WalkDir SetErrorLogger NewQuery NewQueryCursor NextMatch CaptureNameForId RootNode "
-    "NamedChildCount ChildByFieldName Content StartPoint EndPoint Child ChildCount Type Parent "
-).split()
+STD_PREFIXES = [
+    "fmt.", "os.", "strings.", "bytes.", "time.", "sync.", "sort.", "regexp.", "flag.", "strconv.", "io.", "math.", "path.", "filepath.", "unicode.", "encoding.", "database/",
+    "context.", "hash.", "log.", "net.", "http.", "crypto.", "json.", "xml.", "bufio.", "embed.", "errors.", "reflect.", "runtime.", "syscall.", "testing.",
+]
+
+KNOWN_CALLS = [
+    "Print", "Printf", "Println", "Fprintf", "Sprintf", "Sscanf", "Sprint", "Sprintln", "Errorf", "Fprint", "Fprintln", "Open", "Read", "Write", "Close", "Stat", "ReadFile",
+    "WriteFile", "ReadDir", "Mkdir", "MkdirAll", "Remove", "RemoveAll", "Rename", "Chdir", "Chmod", "Getwd", "TempDir", "Executable", "Exit", "IsNotExist", "IsExist", "SameFile",
+    "Stdin", "Stdout", "Stderr", "Split", "Join", "Contains", "HasPrefix", "HasSuffix", "Replace", "ReplaceAll", "Trim", "TrimSpace", "TrimRight", "TrimLeft", "TrimPrefix",
+    "ToLower", "ToUpper", "Index", "IndexByte", "LastIndex", "Count", "Atoi", "Itoa", "ParseInt", "ParseFloat", "FormatInt", "ParseBool", "NewBuffer", "NewReader", "Buffer",
+    "Bytes", "Grow", "WriteByte", "WriteString", "Sleep", "Since", "Now", "Duration", "Second", "Millisecond", "Wait", "Add", "Done", "NewWaitGroup", "Lock", "Unlock", "RWMutex",
+    "Mutex", "Once", "Pool", "Slice", "Strings", "Float64s", "Search", "SearchStrings", "MustCompile", "Compile", "FindAllStringSubmatch", "FindStringSubmatchIndex", "StringVar",
+    "BoolVar", "Int64Var", "IntVar", "Arg", "NArg", "Parse", "Append", "Cap", "Len", "Make", "New", "Copy", "Delete", "Error", "Err", "NewError", "QueryRow", "Query", "Exec",
+    "Prepare", "Scan", "Rows", "Stmt", "Tx", "Valid", "IsLetter", "IsUpper", "IsDigit", "IsSpace", "NewScanner", "NewDelimiter", "NewEncoder", "NewDecoder", "Marshal",
+    "Unmarshal", "MarshalIndent", "New128a", "New128", "New64", "New64a", "Sum", "Fatal", "Fatalf", "Logf", "Log", "Fail", "FailNow", "Run", "Helper", "Short", "Background",
+    "TODO", "WithCancel", "WithTimeout", "WithDeadline", "Listen", "Dial", "Accept", "Handler", "HandleFunc", "Serve", "Rel", "Dir", "Base", "Ext", "Abs", "ToSlash", "WalkDir",
+    "SetErrorLogger", "NewQuery", "NewQueryCursor", "NextMatch", "CaptureNameForId", "RootNode", "NamedChildCount", "ChildByFieldName", "Content", "StartPoint", "EndPoint",
+    "Child", "ChildCount", "Type", "Parent",
+]
 
 
 def brief(functions: DataFrame) -> DataFrame:

@@ -29,12 +29,19 @@ def latest_by_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("row")).select(key, "row.*")
 
 
-def split_by_cache(files: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_by_cache(files: DataFrame, cache: DataFrame, key: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(files with their cached rows, files to parse), by path and content hash."""
-    key = ["file_path", "content_hash"]
+    key = key or ["file_path", "content_hash"]
     return files.join(cache, key), files.join(cache.select(*key), key, "left_anti")
 
 
+def changes(old: DataFrame, new: DataFrame, key: list[str]) -> dict[str, int]:
+    """How many keys are new, changed, unchanged and gone; of rows with one key the last session's counts."""
+    latest = old.groupBy(*key).agg(F.max_by("hash", "session_id").alias("hash"))
+    found = upsert_status(latest, new.groupBy(*key).agg(F.min("hash").alias("hash")), key).groupBy("status").count()
+    return {r.status: r["count"] for r in found.collect()}  # four rows
+
+
 def retained(sessions: DataFrame, keep: int = 3) -> DataFrame:
     """The newest sessions by id; `keep` rows, so the order is taken by a top-k, not a sort."""
     return sessions.orderBy(F.desc("id")).limit(keep)

@@ -17,19 +17,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import extension
-from quarry.functions.hashing import fnv1a, function_hash, variable_hash
-from quarry.schemas import FUNCTIONS, GLOBAL_VARS
+from quarry.functions.hashing import function_hash, variable_hash
+from quarry.schemas import FUNCTIONS, GLOBAL_VARS, PARSED
 from quarry.sources.languages import LANGUAGES, Language, by_extension, named
 
 MAX_SIZE = 1 << 20
 
 #: Directories that are never read.
-SKIPPED_DIRS = (
-    ".git .svn .hg node_modules vendor third_party third-party bower_components jspm_packages typings __pycache__ venv .venv env .env .tox .pytest_cache .eggs .gradle .mvn gradle bin obj target dist build .next .nuxt "
-    ".idea .vscode .vs cmake-build-debug cmake-build-release out __sapper__"
-).split()
+SKIPPED_DIRS = [
+    ".git", ".svn", ".hg", "node_modules", "vendor", "third_party", "third-party", "bower_components", "jspm_packages", "typings", "__pycache__", "venv", ".venv", "env", ".env",
+    ".tox", ".pytest_cache", ".eggs", ".gradle", ".mvn", "gradle", "bin", "obj", "target", "dist", "build", ".next", ".nuxt", ".idea", ".vscode", ".vs", "cmake-build-debug",
+    "cmake-build-release", "out", "__sapper__",
+]
 #: System directories that are never scanned, nor anything below them.
-SYSTEM_ROOTS = "/etc /bin /boot /dev /lib /lib64 /proc /sbin /sys /usr /var /System /Library /Applications".split()
+SYSTEM_ROOTS = [
+    "/etc", "/bin", "/boot", "/dev", "/lib", "/lib64", "/proc", "/sbin", "/sys", "/usr", "/var", "/System", "/Library", "/Applications",
+]
 
 
 def check_root(root: str, allow_temp: bool = True) -> str:
@@ -44,13 +47,18 @@ def check_root(root: str, allow_temp: bool = True) -> str:
     return path
 
 
+def relative(path: Column, base: str) -> Column:
+    """The part of a path or URI below a base folder, with forward slashes."""
+    prefix = re.sub(r"^\w+:/*", "", base.replace("\\", "/")).strip("/") + "/"
+    plain = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^(?:\w+:)?/*", "")
+    return F.substring_index(plain, prefix, -1)
+
+
 def listing(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
     """(path, rel_path, length, mtime[, content]) of all files below a local or remote root."""
     base = root if re.match(r"\w+://", root) else "file://" + os.path.abspath(root)
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(base)
-    prefix = re.sub(r"^\w+:/*", "", base).rstrip("/") + "/"
-    rel = F.substring_index(F.regexp_replace("path", r"^\w+:/*", ""), prefix, -1)
-    return read.select("path", rel.alias("rel_path"), "length", F.unix_timestamp("modificationTime").alias("mtime"), *(["content"] if with_content else []))
+    return read.select("path", relative(F.col("path"), base).alias("rel_path"), "length", F.unix_timestamp("modificationTime").alias("mtime"), *(["content"] if with_content else []))
 
 
 def kept_dirs(rel_path: Column, extra: list[str] | None = None) -> Column:
@@ -75,6 +83,12 @@ def source_files(files: DataFrame, languages: tuple[Language, ...] = LANGUAGES,
 BROADCAST_PATHS = 100_000
 
 
+def repeated_links(files: DataFrame) -> DataFrame:
+    """(path) of the files (path, inode) whose inode a file with a smaller path has; a null inode is nobody else's."""
+    linked = files.filter("inode is not null")
+    return linked.join(linked.groupBy("inode").agg(F.min("path").alias("first")), "inode").filter("path <> first").select("path")
+
+
 def one_of_hard_links(files: DataFrame) -> DataFrame:
     """Of files that are one inode, the first by path. Executors read the inodes of files that are local to them; others have none."""
 
@@ -89,8 +103,7 @@ def one_of_hard_links(files: DataFrame) -> DataFrame:
                     found.append(None)
             yield frame.assign(inode=found)[["path", "inode"]]
 
-    linked = files.select("path").mapInPandas(inodes, "path string, inode string").filter("inode is not null")
-    again = linked.join(linked.groupBy("inode").agg(F.min("path").alias("first")), "inode").filter("path <> first").select("path")
+    again = repeated_links(files.select("path").mapInPandas(inodes, "path string, inode string"))
     # contents stay where they are unless there are very many links
     few = again.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS
     return files.join(F.broadcast(again) if few else again, "path", "left_anti")
@@ -141,19 +154,11 @@ def _text(text: str, kind: str) -> tuple[str | None, str]:
     return (None, "binary") if control * 10 > 3 * len(head) else (text, kind)
 
 
-_FUNCTION = "name string, package_name string, language string, file_path string, line_start int, line_end int, body string, dependencies array<string>, call_count int, nesting_depth int, parameters string, return_types string, receiver string, is_method boolean, visibility string, cyclomatic int, parameter_count int, return_count int, statement_count int, anonymous_funcs int, hash string"
-_GLOBAL = "name string, var_type string, language string, package_name string, visibility string, file_path string, line_num int, is_const boolean, hash string"
-
-
-def _struct(ddl: str) -> str:
-    return "array<struct<" + ",".join(":".join(x.strip().split(" ", 1)) for x in ddl.split(", ")) + ">>"
-
-
-PARSED = f"file_path string, language string, mtime long, encoding string, content_hash string, functions {_struct(_FUNCTION)}, globals {_struct(_GLOBAL)}, error string"
-
-
 def parse(files: DataFrame, languages: tuple[Language, ...] = LANGUAGES) -> DataFrame:
-    """One nested row a file (column content). A file that fails has its error in its row; no file stops the job."""
+    """One nested row a file (column content). A file that fails has its error in its row; no file stops the job.
+
+    content_hash is the SHA-256 of the bytes as they were read, taken outside the interpreter.
+    """
     by_name = {x.name: x for x in languages}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,11 +167,10 @@ def parse(files: DataFrame, languages: tuple[Language, ...] = LANGUAGES) -> Data
         for frame in frames:
             rows = []
             for r in frame.itertuples(index=False):
-                row = {"file_path": r.rel_path, "language": r.language, "mtime": r.mtime, "encoding": None, "content_hash": None, "functions": [], "globals": [], "error": None}
+                row = {"file_path": r.rel_path, "language": r.language, "mtime": r.mtime, "encoding": None, "content_hash": r.content_hash, "functions": [], "globals": [], "error": None}
                 try:
                     text, row["encoding"] = decode(bytes(r.content or b""))
                     if text is not None:
-                        row["content_hash"] = fnv1a(text.encode("utf-8"))
                         row["functions"] = [f | {"hash": function_hash(f)} for f in functions_of(text, r.rel_path, by_name[r.language])]
                         row["globals"] = [g | {"hash": variable_hash(g)} for g in globals_of(text, r.rel_path, by_name[r.language])]
                 except Exception as e:
@@ -174,7 +178,12 @@ def parse(files: DataFrame, languages: tuple[Language, ...] = LANGUAGES) -> Data
                 rows.append(row)
             yield pd.DataFrame(rows, columns=[x.split(" ")[0] for x in ["file_path", "language", "mtime", "encoding", "content_hash", "functions", "globals", "error"]])
 
-    return files.select("rel_path", "language", "mtime", "content").mapInPandas(run, PARSED)
+    hashed = files if "content_hash" in files.columns else files.withColumn("content_hash", bytes_hash())
+    return hashed.select("rel_path", "language", "mtime", "content", "content_hash").mapInPandas(run, PARSED)
+
+
+def bytes_hash() -> Column:
+    return F.sha2(F.coalesce("content", F.lit(b"")), 256)
 
 
 def functions_of_files(parsed: DataFrame, session: int) -> DataFrame:

@@ -14,9 +14,7 @@ def file_stream(spark: SparkSession, root: str, files_per_trigger: int = 1000) -
     """The files below a root as they appear, in the shape of sources.files.listing."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     read = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).load(root)
-    prefix = root.split("://")[-1].strip("/") + "/"
-    rel = F.substring_index(F.regexp_replace("path", r"^\w+:/*", ""), prefix, -1)
-    return read.select("path", rel.alias("rel_path"), "length", F.unix_timestamp("modificationTime").alias("mtime"), "content")
+    return read.select("path", S.relative(F.col("path"), root).alias("rel_path"), "length", F.unix_timestamp("modificationTime").alias("mtime"), "content")
 
 
 def parse_new_files(spark: SparkSession, root: str, out: str, checkpoint: str) -> StreamingQuery:

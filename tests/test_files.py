@@ -1,10 +1,12 @@
+import json
 import os
 
 import pytest
 
 from quarry.cli import ask, call
 from quarry.operators import state as K
-from quarry.plans.scan import Options, Scanned, scan
+from quarry.plans.report import graph_report, text_table
+from quarry.plans.scan import TABLES, Options, Scanned, scan
 from quarry.sources import files as S
 from quarry.streaming.incremental import parse_new_files
 
@@ -77,16 +79,58 @@ def test_scan_and_questions(spark, tree, tmp_path):
     assert r.functions.select("session_id").distinct().count() <= 3
 
 
+def test_caches_and_files_that_are_gone(spark, tree, tmp_path):
+    state = str(tmp_path / "state")
+    r = Scanned(spark, state)
+    assert scan(spark, str(tree), state).cached == 0
+    before = {(x.name, x.file_path, x.hash) for x in r.functions.collect()}
+    for name in ("main.go", "lib/helper.go", "tool.py"):
+        os.utime(tree / name, (9, 9))
+    touched = scan(spark, str(tree), state)
+    assert (touched.parsed, touched.cached, touched.gone) == (0, 3, 0) and touched.function_changes == {"unchanged": 5} and touched.variable_changes == {"unchanged": 1}
+    assert {(x.name, x.file_path, x.hash) for x in r.functions.collect()} == before
+    full = scan(spark, str(tree), state, Options(incremental=False))
+    assert (full.parsed, full.cached) == (0, 5)
+    (tree / "main.go").unlink()
+    (tree / "lib/helper.go").write_text("package helper\n\nfunc Go(n int) { x() }\n\nfunc more() {}\n")
+    os.utime(tree / "lib/helper.go", (11, 11))
+    last = scan(spark, str(tree), state)
+    assert (last.parsed, last.cached, last.gone) == (1, 0, 1) and last.function_changes == {"changed": 1, "gone": 1, "new": 1}
+    assert {x.name for x in r.functions.collect()} == {"Go", "more", "tool", "card"} and r.globals.count() == 0
+    assert (last.functions, last.variables) == (4, 0) == tuple(r.sessions.orderBy("id").tail(1)[0][-2:])
+    assert {x.caller_id for x in r.deps.collect()} <= {x.id for x in r.functions.collect()}
+    assert all(len(K.Snapshots(spark, state)._list(t)) <= 2 for t in TABLES)
+    assert scan(spark, str(tree), state, Options(incremental=False, use_parse_cache=False)).parsed == 4
+
+
+def test_reports(spark, tree, tmp_path):
+    state = str(tmp_path / "state")
+    scan(spark, str(tree), state)
+    r = Scanned(spark, state)
+    report = graph_report(r.functions, r.deps).split("\n")
+    assert report[1].startswith("  functions 6, calls 3") and "  1. Go (lib/helper.go:3): 2 callers" in report and "  2. run (main.go:7): 1 callers" in report and "Never called: 4" in report
+    rows = [{"a": 1, "b": "x\ny", "c": {"k": 2}}, {"a": None, "b": "", "c": {}}]
+    assert text_table(["a", "b", "c"], rows).split("\n") == ["a  c", "-  ---", "1  k=2", "    | x", "    | y", "", "    | ", "(2 rows)"]
+
+
 def test_rpc(spark, tree, tmp_path):
     state = str(tmp_path / "state")
     scan(spark, str(tree), state, Options(only=["python"]))
     r = Scanned(spark, state)
     assert len(call(r, {"id": 1, "method": "tools/list"})["result"]["tools"]) == 17
-    top = call(r, {"id": 2, "method": "tools/call", "params": {"name": "top_functions", "arguments": {"n": "1"}}})["result"]["content"]
-    assert [x["name"] for x in top] == ["tool"]
+    (text,) = call(r, {"id": 2, "method": "tools/call", "params": {"name": "top_functions", "arguments": {"n": "1"}}})["result"]["content"]
+    assert text["type"] == "text" and [x["name"] for x in json.loads(text["text"])] == ["tool"]
+    (text,) = call(r, {"id": 7, "method": "tools/call", "params": {"name": "get_function_body", "arguments": {"func_id": "tool"}}})["result"]["content"]
+    assert text["text"] == "def tool():\n    return work()"
     assert call(r, {"id": 3, "method": "tools/call", "params": {"name": "find_callers", "arguments": {}}})["result"]["isError"]
     assert call(r, {"id": 4, "method": "tools/call", "params": {"name": "nope"}})["result"]["isError"]
-    assert call(r, {"id": 5, "method": "resources/read", "params": {"uri": "db://sessions/latest"}})["result"]["contents"][0]["id"] == 1
+    (session,) = call(r, {"id": 5, "method": "resources/read", "params": {"uri": "db://sessions/latest"}})["result"]["contents"]
+    assert json.loads(session["text"])[0]["id"] == 1
+    hello = call(r, {"id": 0, "method": "initialize", "params": {"protocolVersion": "2024-11-05"}})["result"]
+    assert hello["protocolVersion"] == "2024-11-05" and "tools" in hello["capabilities"] and call(r, {"method": "notifications/initialized"}) is None
+    tools = {t["name"]: t["inputSchema"] for t in call(r, {"id": 6, "method": "tools/list"})["result"]["tools"]}
+    assert tools["find_callers"]["required"] == ["func_name"] and "required" not in tools["top_functions"]
+    assert call(r, {"id": 8, "method": "nope"})["error"]["code"] == -32601
 
 
 def test_stream_parses_new_files_once(spark, tree, tmp_path):
