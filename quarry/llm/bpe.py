@@ -3,7 +3,7 @@
 A word's symbols form a doubly linked list; a priority queue holds (merge rank, place) of adjacent
 pairs, and an entry whose symbols have since merged away is stale and skipped when popped. Words
 repeat, so each Python worker encodes the distinct words of a chunk of texts and keeps them in a
-bounded cache. Splitting, looking up and putting ids together are array operations.
+cache of bounded bytes, whose hits are held against the words' own bytes. Splitting, looking up and putting ids together are array operations.
 Decoding looks the vocabulary string of each id up and concatenates, as the tokenizer's decoder does.
 
 Defined results: a null text is an empty text with no ids; ids, nulls and repeated rows of other
@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import _P, gather, mix, range_hash, rows_of
+from .text import _P, gather, mix, range_hash, rows_of, tidied, unequal
 
-CACHE_WORDS = 3_000_000
-CHUNK = 4 << 20
+CACHE_BYTES = 32 << 20
+CHUNK = 1 << 20
 #: Fixed value: the split pattern of word_bpe vocabularies, which split_points() follows.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -146,20 +146,20 @@ def split_points(chars: np.ndarray, offsets: np.ndarray, leading_blank: bool) ->
 
 
 class WordCache:
-    """Hash of a word -> its ids, in sorted arrays; emptied when it has grown to `limit` words."""
+    """Words with their ids, found by hash and told apart by their bytes; emptied when it has grown to `limit` bytes."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = CACHE_WORDS):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = CACHE_BYTES):
         self.encode, self.limit = encode, limit
         self.clear()
 
     def clear(self) -> None:
         self.hash = np.zeros(0, np.uint64)
-        self.start = self.length = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
+        self.where = np.zeros((0, 4), np.int64)  # start and number of the ids, start and size of the bytes
+        self.pool, self.raw = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
-    def lookup(self, hashes: np.ndarray, word: Callable[[int], str]) -> np.ndarray:
-        """Places in the cache of sorted distinct hashes; word(i) is the i-th word itself."""
-        if len(self.hash) > self.limit:
+    def lookup(self, hashes: np.ndarray, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start and number of the ids in the pool, whether its bytes are another word's) of each word raw[start:start + size]; hashes are sorted and distinct."""
+        if self.hash.nbytes + self.where.nbytes + self.pool.nbytes + self.raw.nbytes > self.limit:
             self.clear()
         if len(self.hash):
             at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
@@ -167,15 +167,20 @@ class WordCache:
         else:
             missing = np.arange(len(hashes))
         if len(missing):
-            made = self.encode([word(i) for i in missing])
-            length = np.fromiter(map(len, made), np.int64, len(made))
-            ids = np.fromiter(chain.from_iterable(made), np.uint32, int(length.sum()))
+            ids, length = self.encoded(raw, start[missing], size[missing])
+            n = size[missing]
+            where = np.stack([len(self.pool) + np.cumsum(length) - length, length, len(self.raw) + np.cumsum(n) - n, n], axis=1)
             place = np.searchsorted(self.hash, hashes[missing])
-            self.start = np.insert(self.start, place, len(self.pool) + np.cumsum(length) - length)
-            self.length = np.insert(self.length, place, length)
-            self.hash = np.insert(self.hash, place, hashes[missing])
-            self.pool = np.concatenate([self.pool, ids])
-        return np.searchsorted(self.hash, hashes)
+            self.where, self.hash = np.insert(self.where, place, where, axis=0), np.insert(self.hash, place, hashes[missing])
+            self.pool, self.raw = np.concatenate([self.pool, ids]), np.concatenate([self.raw, gather(raw, start[missing], n)])
+        where = self.where[np.searchsorted(self.hash, hashes)]
+        return where[:, :2], unequal(raw, start, size, self.raw, where[:, 2], where[:, 3])
+
+    def encoded(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number) of words, without the cache."""
+        made = self.encode([raw[a : a + n].tobytes() for a, n in zip(start.tolist(), size.tolist(), strict=True)])
+        length = np.fromiter(map(len, made), np.int64, len(made))
+        return np.fromiter(chain.from_iterable(made), np.uint32, int(length.sum())), length
 
 
 class Codec:
@@ -201,10 +206,10 @@ class Codec:
             from tokenizers import Tokenizer
 
             tokenize = Tokenizer.from_file(path).model.tokenize
-            self.words = WordCache(lambda words: [[t.id for t in tokenize("".join(letters[b] for b in w.encode()))] for w in words])
+            self.words = WordCache(lambda words: [[t.id for t in tokenize("".join(letters[b] for b in w))] for w in words])
         else:
             merges = Merges(model["vocab"], model["merges"], model["end_of_word_suffix"])
-            self.words = WordCache(lambda words: [merges.encode([letters[b] for b in w.encode()]) for w in words])
+            self.words = WordCache(lambda words: [merges.encode([letters[b] for b in w]) for w in words])
         size = max([*model["vocab"].values(), *self.special.values()]) + 1
         tokens = [b""] * size
         for token, i in [*model["vocab"].items(), *self.special.items()]:
@@ -239,11 +244,24 @@ class Codec:
         chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
         starts, ends = split_points(chars, offsets, self.leading_blank)
-        hashes = mix(range_hash(chars.astype(np.uint64) + np.uint64(977), starts, ends, _P))
+        raw = np.frombuffer(joined.encode(), np.uint8)
+        if len(raw) == len(chars):
+            begin, size = starts, ends - starts
+        else:
+            place = np.concatenate([[0], np.cumsum(1 + (chars >= 0x80).astype(np.int8) + (chars >= 0x800) + (chars >= 0x10000), dtype=np.int64)])
+            begin, size = place[starts], place[ends] - place[starts]
+        hashes = mix(range_hash(raw, begin, begin + size, _P))
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        at = self.words.lookup(distinct, lambda k: joined[starts[first[k]] : ends[first[k]]])
-        begin, length = self.words.start[at][inverse], self.words.length[at][inverse]
-        ids = gather(self.words.pool, begin, length)
+        one = first[inverse]
+        odd = unequal(raw, begin, size, raw, begin[one], size[one])
+        where, other = self.words.lookup(distinct, raw, begin[first], size[first])
+        where, odd, pool = where[inverse], odd | other[inverse], self.words.pool
+        if odd.any():  # words that share a hash with another one
+            ids, length = self.words.encoded(raw, begin[odd], size[odd])
+            where[odd, 0], where[odd, 1] = len(pool) + np.cumsum(length) - length, length
+            pool = np.concatenate([pool, ids])
+        length = where[:, 1]
+        ids = gather(pool, where[:, 0], length)
         edges = np.concatenate([[0], np.cumsum(length)])[np.searchsorted(starts, offsets)]
         fixed = np.array(fixed, np.int64)
         if (special := np.flatnonzero(fixed >= 0)).size:
@@ -288,7 +306,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str
             yield pa.record_batch([batch.column("id"), binary_slices(ids, at), pa.array(c.decode(ids, at), pa.string())], schema=_OUT)
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return picked.mapInArrow(run, "id long, ids binary, decoded string")
+    return picked.mapInArrow(tidied(run), "id long, ids binary, decoded string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .suffix import common_prefixes, suffix_order
-from .text import _P, _R, BYTE_CODES, Words, buffer_of, mix, range_hash, rows_of
+from .text import _P, Words, buffer_of, range_hash, rows_of, tidied, unequal
 
 REPEAT_WINDOW = 8
 _SYMBOL = np.zeros(256, bool)
@@ -80,11 +80,19 @@ def duplicate_lines(words: Words) -> np.ndarray:
     ends = np.where((raw[stop - 1] == 10) & (stop > starts), stop - 1, stop) if len(starts) else stop[:0]
     with_word = np.searchsorted(words.start, ends) > np.searchsorted(words.start, starts)
     starts, ends, text = starts[with_word], ends[with_word], text[with_word]
-    code = mix(range_hash(BYTE_CODES[raw], starts, ends, _P) ^ ((ends - starts).astype(np.uint64) * _R))
+    size = ends - starts
+    code = range_hash(raw, starts, ends, _P)
     order = np.lexsort((code, text))
     again = np.zeros(len(order), bool)
     again[1:] = (code[order][1:] == code[order][:-1]) & (text[order][1:] == text[order][:-1])
-    return np.bincount(text[order][again], minlength=len(offsets) - 1).astype(np.int64)
+    line = np.flatnonzero(again)
+    a, b = order[line], order[line - 1]
+    odd = set(text[a[unequal(raw, starts[a], size[a], raw, starts[b], size[b])]].tolist())
+    out = np.bincount(text[order][again], minlength=len(offsets) - 1).astype(np.int64)
+    for t in odd:  # different lines share a hash
+        lines = [raw[starts[i] : ends[i]].tobytes() for i in np.flatnonzero(text == t)]
+        out[t] = len(lines) - len(set(lines))
+    return out
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("n_covered_words", pa.int64()), ("longest_repeat", pa.int64())])
@@ -118,7 +126,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", limits:
         for batch in rows_of(batches, "text"):
             yield judge(batch.column("id"), *buffer_of(batch.column("text")), limits)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(tidied(run), SCHEMA)
 
 
 def keep_good(docs: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:
@@ -130,9 +138,34 @@ def keep_good(docs: DataFrame, text: str = "text", limits: Limits = Limits()) ->
             verdict = judge(pa.nulls(batch.num_rows, pa.int64()), *buffer_of(batch.column(text)), limits)
             yield batch.filter(verdict.column("kept"))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered_words", "longest_repeat")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered_words")
+
+
+def _covered(n: int) -> str:
+    """SQL for the words of each text that lie in a window of n words that the text holds twice."""
+    return f"select r, count(*) as n from (select r, max(case when again then k end) over (partition by r order by k rows between {n - 1} preceding and current row) is not null as inside from (select r, k, x is not null and count(*) over (partition by r, x) > 1 as again from (select r, k, case when k + {n - 1} <= len(w) then array_to_string(list_slice(w, k, k + {n - 1}), ' ') end as x from words join d using (r)))) where inside group by r"
+
+
+ORACLE = (
+    r"""
+with d as materialized (select row_number() over () as r, doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+words as (select r, generate_subscripts(w, 1) as k from d),
+base8 as ("""
+    + _covered(8)
+    + "), base4 as ("
+    + _covered(4)
+    + "), base51 as ("
+    + _covered(51)
+    + r"""),
+lines as (select r, count(*) - count(distinct line) as n from (select r, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by r),
+q as (select doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars, cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, coalesce(lines.n, 0) as n_dup_lines, coalesce(base8.n, 0) as n_repeat_words, coalesce(base4.n, 0) as n_covered_words, base51.n is not null as too_long
+from d left join lines using (r) left join base8 using (r) left join base4 using (r) left join base51 using (r))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+ not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and n_covered_words <= 0.5 * n_words and not too_long as kept, n_covered_words from q
+"""
+)

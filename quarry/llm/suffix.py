@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from .text import _P, gather, range_hash, unequal
 
 SYMBOLS_AT_ONCE = 6  # symbols below 2**10 that one 64-bit key holds
 
@@ -109,13 +110,14 @@ def prefix_free_order(symbols: np.ndarray, end: np.ndarray, trigger: np.ndarray,
     follows[:-1] = text_end[1:] == text_end[:-1]
     stop = text_end.copy()
     stop[:-1][follows[:-1]] = starts[1:][follows[:-1]] + overlap
-    # dictionary: distinct phrases, by two hashes; a phrase that ends a text is told apart from one that goes on
-    code = symbols.astype(np.uint64) + np.uint64(1)
-    from .text import _P, _Q, gather, mix, range_hash
-
-    tail = (~follows).astype(np.uint64)
-    h = mix(range_hash(code, starts, stop, _P) ^ tail) ^ range_hash(mix(code), starts, stop, _Q) * np.uint64(3)
+    # dictionary: distinct phrases, found by hash, told apart by their bytes; a phrase that ends a text differs from one that goes on
+    size = stop - starts
+    h = range_hash(symbols, starts, stop, _P) << np.uint64(1) | ~follows
     _, sample, phrase = np.unique(h, return_index=True, return_inverse=True)
+    if unequal(symbols, starts, size, symbols, starts[sample][phrase], size[sample][phrase]).any():
+        held: dict[tuple[bytes, bool], int] = {}
+        phrase = np.array([held.setdefault((symbols[a:b].tobytes(), f), len(held)) for a, b, f in zip(starts.tolist(), stop.tolist(), follows.tolist(), strict=True)])
+        _, sample = np.unique(phrase, return_index=True)
     length = (stop - starts)[sample] + ~follows[sample]  # with a closing symbol below all others
     begin = np.cumsum(length) - length
     words = gather(symbols.astype(np.int64) + 1, starts[sample], (stop - starts)[sample])
