@@ -1,5 +1,5 @@
 """The folder that the driver and all executors share."""
 
-from quarry.plans.shared import checkpointed, folder, place, written
+from quarry.plans.shared import checkpointed, discard, folder, place, temporary, written
 
-__all__ = ["checkpointed", "folder", "place", "written"]
+__all__ = ["checkpointed", "discard", "folder", "place", "temporary", "written"]
