@@ -10,25 +10,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from quarry.llm import language_id, near_dedup, packing, quality, suffix_dedup
-from quarry.llm.shared import written
+from quarry.llm.shared import discard, place, temporary, written
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled training rows among its input; documents in no known language go."""
+    """Learns from the labelled training rows among its input; documents in no known language go.
+
+    Null and empty texts, and texts without a letter, are in no language and go, as do all texts if no
+    row has a label. Ids may be null or repeated: each row is judged by itself, all its columns stay.
+    """
     model = language_id.learn(language_id.training_rows(docs))
     return language_id.keep_known(docs, model)
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules fail go."""
+    """Documents that the quality rules fail go.
+
+    Null and empty texts have no words and go. Ids may be null or repeated: each row is judged by
+    itself, all its columns stay.
+    """
     return quality.keep_good(docs)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows linked by near-duplicate five-word shingle sets, the one with the smallest id stays, one without an id only if none has any.
 
-    Rows of one id with unlinked texts all stay. Of rows linked and equal in id the least hash of the text decides, of rows equal
-    in text too the least of the other columns.
+    Texts without a word (null, empty, white space) are linked with nothing and stay, one of rows equal in id and text. Rows of one
+    id with unlinked texts all stay. Of rows linked and equal in id the least hash of id and text decides, of rows equal in text too
+    the least of the other columns. Columns may have any names.
     """
     judged = near_dedup.classes(spark, docs)
     words = F.col("n_shingles") > 0
@@ -45,7 +54,12 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 50-byte strings that an earlier document holds go; a character of which a byte goes goes whole."""
+    """Bytes of 50-byte strings that a document with a smaller id holds go; a character of which a byte goes goes whole.
+
+    Documents of which nothing is left go, so null and empty texts do. A row without an id loses
+    nothing and takes nothing from others; rows that repeat an id take nothing from each other. The
+    other columns stay as they are, but for n_chars.
+    """
     others = [c for c in docs.columns if c != "text"]
     cut = suffix_dedup.remove_earlier_bytes(spark, docs, carry=others)
     carried = cut.select("kept", *(f"carried_{i}" for i in range(len(others))))
@@ -63,7 +77,11 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of all documents that are left."""
+    """The packed pieces of all documents that are left.
+
+    Null and empty texts are one piece of one token. Ids may be null or repeated: each row is packed.
+    Only ids and texts are read, whatever the other columns are called.
+    """
     import public_tokenizers
 
     return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -83,7 +101,15 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; the pieces without their ids' bytes, but with their checksum."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with temporary():  # what the stage writes for itself goes once its result is written
+            out = stage(spark, docs, sf_dir)
+            path = place(spark, name)
+            out.write.parquet(path)
+        docs = spark.read.parquet(path)
+        docs.written_at = path
+        if before is not None:
+            discard(before)
+        before = docs
     return docs.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

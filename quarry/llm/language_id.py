@@ -3,10 +3,12 @@
 A document is taken as drawn from a mixture of languages. Each language has a smoothed distribution
 of hashed letter trigrams, counted over all training documents. Expectation-maximisation estimates
 the document's language proportions from its trigram counts; among the nested sets of its most
-likely languages, the one with the best penalised likelihood is selected and its proportions are
-estimated anew. The prediction is the language with the largest proportion, the score that proportion.
+likely languages, from one language on, sets grow while the penalised likelihood does; the last that
+was better is selected, with its own proportions. The prediction is the language with the largest
+proportion, the score that proportion.
 
-Labels are taken to be few (the model is one count vector of 2**16 for each, 0.5 MB).
+The model is one count vector of 2**16 for each language (0.5 MB), which goes to the driver and to all
+executors: `max_languages` bounds it, and labels beyond that are an error, not languages left out.
 
 Defined results: a null text or one without a letter is `und` with score 0, as is every text when no
 document can be learned from; documents with a null text, language or id are not learned from; a
@@ -24,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import buffer_of, rows_of
+from .text import buffer_of, rows_of, tidied
 
 BUCKETS = 1 << 16
 _PARTS = 16
+MAX_LANGUAGES = 256
 UND = "und"
 _FOLD = np.full(256, 0x20, np.uint32)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
@@ -75,7 +78,7 @@ class Model:
 _COUNTS = pa.schema([("lang", pa.string()), ("part", pa.int32()), ("counts", pa.binary())])
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", max_languages: int = MAX_LANGUAGES) -> Model:
     """Trigram counts of each language over all rows with a text and a language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +105,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
     schema = "lang string, part int, counts binary"
     picked = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    rows = picked.mapInArrow(count, schema).repartition(_PARTS, "lang", "part").mapInArrow(add, schema).collect()
+    if picked.select("lang").distinct().limit(max_languages + 1).count() > max_languages:
+        raise ValueError(f"more than {max_languages} languages in column {lang}")
+    rows = picked.mapInArrow(tidied(count), schema).repartition(_PARTS, "lang", "part").mapInArrow(add, schema).collect()
     names = sorted({r.lang for r in rows})
     counts = np.zeros((len(names), BUCKETS), np.int64)
     for r in rows:
@@ -135,16 +140,27 @@ def proportions(table: np.ndarray, raw: np.ndarray, offsets: np.ndarray, penalty
     size = np.add.reduceat(c, first)
     weights, _ = _mixture(p, c, first, owner, np.full((len(first), k), 1 / k), rounds)
     rank = np.argsort(np.argsort(-weights, axis=1, kind="stable"), axis=1, kind="stable")
-    best, best_value = None, None
-    for s in range(1, k + 1):
-        w = np.where(rank < s, np.maximum(weights, 1e-9), 0)
-        w, fit = _mixture(p, c, first, owner, w / w.sum(axis=1, keepdims=True), rounds if 1 < s < k else int(s == k and k > 1))
-        value = fit - penalty * s * np.log(np.maximum(size, 2))
-        if best is None:
-            best, best_value = w, value
+    best = np.where(rank < 1, 1.0, 0.0)
+    _, fit = _mixture(p, c, first, owner, best, 0)
+    value = fit - penalty * np.log(np.maximum(size, 2))
+    growing = np.arange(len(first))
+    for s in range(2, k + 1):
+        if not len(growing):
+            break
+        part = np.zeros(len(first), bool)
+        part[growing] = True
+        if part.all():
+            some_p, some_c, some_first, some_owner = p, c, first, owner
         else:
-            better = value > best_value
-            best[better], best_value[better] = w[better], value[better]
+            of = part[owner]
+            some_p, some_c, some_owner = p[of], c[of], (np.cumsum(part) - 1)[owner[of]]
+            some_first = np.flatnonzero(np.diff(some_owner, prepend=-1))
+        w = np.where(rank[growing] < s, np.maximum(weights[growing], 1e-9), 0)
+        w, fit = _mixture(some_p, some_c, some_first, some_owner, w / w.sum(axis=1, keepdims=True), rounds)
+        now = fit - penalty * s * np.log(np.maximum(size[growing], 2))
+        better = now > value[growing]
+        growing, w, now = growing[better], w[better], now[better]
+        best[growing], value[growing] = w, now
     out[texts] = best
     return out
 
@@ -161,7 +177,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
             yield pa.record_batch([batch.column("id"), *_labels(batch.column("text"), names, table.value, penalty)], schema=_OUT)
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return picked.mapInArrow(run, "id long, lang_pred string, score double, shares array<double>")
+    return picked.mapInArrow(tidied(run), "id long, lang_pred string, score double, shares array<double>")
 
 
 def _labels(column: pa.Array, names: list[str], table: np.ndarray, penalty: float) -> tuple[pa.Array, pa.Array, pa.Array]:
@@ -183,7 +199,7 @@ def keep_known(docs: DataFrame, model: Model, text: str = "text", least: float =
             label, score, _ = _labels(batch.column(text), names, table.value, penalty)
             yield batch.filter(pa.array((np.array(label.to_pylist(), object) != UND) & (score.to_numpy() >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):
