@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ASK = "block int, shard int, kind int, h1 binary, h2 binary, value binary"
-_ASK = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("kind", pa.int32()), ("h1", pa.binary()), ("h2", pa.binary()), ("value", pa.binary())])
+ASK_SCHEMA = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("kind", pa.int32()), ("h1", pa.binary()), ("h2", pa.binary()), ("value", pa.binary())])
 BLOCK_BYTES = 8 << 20
 
 
@@ -30,11 +30,19 @@ def blocks_for(size: int, block_bytes: int = BLOCK_BYTES) -> int:
     return max(1, -(-size // block_bytes))
 
 
+BLOCKS_A_TASK = 32
+
+
 def in_blocks(docs: DataFrame, id_col: str, text: str, n: int, carry: Sequence[str] = ()) -> DataFrame:
-    """(block, id, text, carried_0, carried_1, ...: the columns to carry). Equal ids and texts share a block; the rest is dealt evenly."""
+    """(block, id, text, carried_0, carried_1, ...: the columns to carry). Equal ids and texts share a block; the rest is dealt evenly.
+
+    Blocks bound what is in memory at once, not the number of tasks: up to BLOCKS_A_TASK share a
+    partition where there are more blocks than shuffle partitions.
+    """
+    tasks = min(n, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // BLOCKS_A_TASK)))
     carried = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *carried)
-    return picked.select(F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int").alias("block"), "*").repartition(n, "block")
+    return picked.select(F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int").alias("block"), "*").repartition(tasks, "block")
 
 
 def packed(block: int, shards: int, kind: int, h1: np.ndarray, h2: np.ndarray, value: np.ndarray) -> pa.Table:
@@ -44,7 +52,7 @@ def packed(block: int, shards: int, kind: int, h1: np.ndarray, h2: np.ndarray, v
     bounds = np.append(first, len(h1))
     n = len(first)
     parts = [[x[bounds[i] : bounds[i + 1]].tobytes() for i in range(n)] for x in (h1, h2, value)]
-    return pa.table([pa.array(np.full(n, block, np.int32)), pa.array(shard[first].astype(np.int32)), pa.array(np.full(n, kind, np.int32)), *(pa.array(p, pa.binary()) for p in parts)], schema=_ASK)
+    return pa.table([pa.array(np.full(n, block, np.int32)), pa.array(shard[first].astype(np.int32)), pa.array(np.full(n, kind, np.int32)), *(pa.array(p, pa.binary()) for p in parts)], schema=ASK_SCHEMA)
 
 
 def unpacked(table: pa.Table | pa.RecordBatch, value_type: np.typing.DTypeLike) -> tuple[np.ndarray, ...]:
@@ -93,7 +101,7 @@ def answers(asked: DataFrame, value_type: np.typing.DTypeLike, decide: Decision)
         h1, h2, value, row = unpacked(table, value_type)
         chosen, answer = decide(h1, h2, value)
         if not len(chosen):
-            return _ASK.empty_table()
+            return ASK_SCHEMA.empty_table()
         block = np.array(table.column("block").to_numpy(), np.int64)[row[chosen]]
         kind = table.column("kind")[0].as_py()
         by = np.argsort(block, kind="stable")
@@ -101,13 +109,13 @@ def answers(asked: DataFrame, value_type: np.typing.DTypeLike, decide: Decision)
         for i, j in zip(edges, np.append(edges[1:], len(by)), strict=True):
             at = by[i:j]
             out.append((int(block[at[0]]), 0, kind, h1[chosen[at]].tobytes(), h2[chosen[at]].tobytes(), answer[at].tobytes()))
-        return pa.Table.from_pylist([dict(zip(_ASK.names, x, strict=True)) for x in out], schema=_ASK)
+        return pa.Table.from_pylist([dict(zip(ASK_SCHEMA.names, x, strict=True)) for x in out], schema=ASK_SCHEMA)
 
     return asked.groupBy("shard").applyInArrow(of_shard, ASK)
 
 
 def empty_ask() -> pa.Table:
-    return _ASK.empty_table()
+    return ASK_SCHEMA.empty_table()
 
 
 def one_block(table: pa.Table, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:

@@ -1,128 +1,79 @@
-"""Count-min sketches over hashes whose counters stop at two, merged over partitions.
+"""Count-min sketches over hashes whose counters stop at two, dealt to shards and merged there.
 
-A filter for repeats asks only whether a count is below two, so a counter is two bits: one bitmap
-of cells seen, one of cells seen again. A sketch never counts too little.
+A filter for repeats asks only whether a count is below two. The sketch is one array of cells for each
+shard and row; a block of documents sends each shard the cells that it counts, and which of them it
+counts twice: its own sketch of the shard, without the empty cells. The shard adds these sketches up
+and tells each block, a bit a cell, which of its cells hold at least two. No sketch is ever in one
+place, so its size follows the corpus, and a count is never too small.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_PART = 1 << 16  # bytes of a bitmap that travel together
-_SCHEMA = "part int, seen binary, again binary"
-_ARROW = pa.schema([("part", pa.int32()), ("seen", pa.binary()), ("again", pa.binary())])
-
-
-def shape(expected: int, max_bits: int) -> tuple[int, int]:
-    """(rows, log2 of cells a row) for a number of expected keys, within max_bits cells in all.
-
-    Four cells a key and row where they fit; beyond the bound the sketch is fuller, so that more
-    keys pass it (never fewer).
-    """
-    bits = max(19, int(4 * max(1, expected) - 1).bit_length())
-    rows = 4
-    while rows << bits > max_bits and (rows > 1 or bits > 19):
-        if rows > 2:
-            rows //= 2
-        else:
-            bits -= 1
-    return rows, bits
-
-
-class Sketch:
-    def __init__(self, rows: int, bits: int):
-        self.rows, self.bits = rows, bits
-        self.seen = np.zeros((rows, 1 << bits - 3), np.uint8)
-        self.again = np.zeros((rows, 1 << bits - 3), np.uint8)
-
-    def cells(self, h: np.ndarray, row: int) -> np.ndarray:
-        return (h * _ODD[row]) >> np.uint64(64 - self.bits)
-
-    def add(self, h: np.ndarray) -> None:
-        for row in range(self.rows):
-            cells = np.sort(self.cells(h, row))
-            new = np.ones(len(cells), bool)
-            new[1:] = cells[1:] != cells[:-1]
-            twice = np.unique(cells[~new])
-            cells = cells[new]
-            old = cells[get(self.seen[row], cells)]
-            put(self.again[row], np.union1d(twice, old))
-            put(self.seen[row], cells)
-
-
-def get(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    return (bitmap[cells >> np.uint64(3)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
-def put(bitmap: np.ndarray, cells: np.ndarray) -> None:
-    """Set the bits of sorted distinct cells."""
-    if len(cells):
-        place = cells >> np.uint64(3)
-        first = np.flatnonzero(np.diff(place, prepend=np.uint64(0xFFFFFFFFFFFFFFFF)))
-        bits = np.left_shift(np.uint8(1), (cells & np.uint64(7)).astype(np.uint8))
-        bitmap[place[first]] |= np.bitwise_or.reduceat(bits, first)
-
-
-def merged(rows_in: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], text: str, rows: int, bits: int, tasks: int) -> DataFrame:
-    """The sketch of keys(batch) over all rows, in parts: a sketch a task, then part by part."""
-    from .text import rows_of
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = None
-        for batch in rows_of(batches, text):
-            sketch = sketch or Sketch(rows, bits)
-            sketch.add(keys(batch))
-        if sketch is None:
-            return
-        seen, again = sketch.seen.reshape(-1), sketch.again.reshape(-1)
-        for part in range(-(-len(seen) // _PART)):
-            s, a = (x[part * _PART : (part + 1) * _PART] for x in (seen, again))
-            if s.any():
-                yield pa.record_batch([[part], [zlib.compress(s.tobytes(), 1)], [zlib.compress(a.tobytes(), 1)]], schema=_ARROW)
-
-    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for part, s, a in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s, a = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (s, a))
-                if part in held:
-                    old = held[part]
-                    old[1] = old[1] | a | (old[0] & s)
-                    old[0] = old[0] | s
-                else:
-                    held[part] = [s, a]
-        for part, (s, a) in held.items():
-            if a.any():
-                yield pa.record_batch([[part], [b""], [zlib.compress(a.tobytes(), 1)]], schema=_ARROW)
-
-    return rows_in.mapInArrow(local, _SCHEMA).repartition(tasks, "part").mapInArrow(together, _SCHEMA)
-
-
-class Repeats:
-    """The bitmap of cells counted at least twice; its size is bounded by the sketch's shape."""
-
-    def __init__(self, rows: int, bits: int, parts: list[tuple[int, bytes]]):
-        self.rows, self.bits = rows, bits
-        self.parts = parts
-        self._again: np.ndarray | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_again": None}
-
-    def estimated_repeated(self, h: np.ndarray) -> np.ndarray:
-        if self._again is None:
-            size = self.rows << self.bits - 3
-            flat = np.zeros(size, np.uint8)
-            for part, data in self.parts:
-                flat[part * _PART : min(size, (part + 1) * _PART)] = np.frombuffer(zlib.decompress(data), np.uint8)
-            self._again = flat.reshape(self.rows, -1)
-        out = np.ones(len(h), bool)
-        for row in range(self.rows):
-            out &= get(self._again[row], (h * _ODD[row]) >> np.uint64(64 - self.bits))
-        return out
+from .exchange import ASK, ASK_SCHEMA, empty_ask
+from .text import mix
+
+ROWS = 2
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_LOW32, _32 = np.uint64(0xFFFFFFFF), np.uint64(32)
+
+
+def cells_of(h: np.ndarray, row: int, shards: int, cells: int) -> np.ndarray:
+    """Shard (upper 32 bits) and cell in it (lower 32 bits) of each key in a row of the sketch."""
+    x = mix(h * _ODD[row])
+    shard = ((x >> _32) * np.uint64(shards)) >> _32
+    return shard << _32 | ((x & _LOW32) * np.uint64(cells)) >> _32
+
+
+def block_sketch(block: int, keys: np.ndarray, shards: int, cells: int) -> pa.Table:
+    """One row for each shard and row of the sketch in which the keys have cells: the cells, and a bit for each that is hit twice."""
+    out = []
+    for row in range(ROWS):
+        at, count = np.unique(cells_of(keys, row, shards, cells), return_counts=True)
+        shard = at >> _32
+        first = np.flatnonzero(np.diff(shard, prepend=~shard[:1]))
+        for i, j in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
+            out.append((block, int(shard[i]), row, (at[i:j] & _LOW32).astype("<u4").tobytes(), np.packbits(count[i:j] > 1).tobytes(), b""))
+    if not out:
+        return empty_ask()
+    return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), ASK_SCHEMA, strict=True)], schema=ASK_SCHEMA)
+
+
+def merged(asked: DataFrame, cells: int) -> DataFrame:
+    """To each block sketch, a bit for each of its cells: whether the merged sketch counts it at least twice."""
+
+    def of_shard(table: pa.Table) -> pa.Table:
+        kinds = table.column("kind").to_numpy()
+        sent = [np.frombuffer(x, "<u4") for x in table.column("h1").to_pylist()]
+        twice = table.column("h2").to_pylist()
+        answer = [b""] * len(sent)
+        for row in range(ROWS):
+            own = np.flatnonzero(kinds == row)
+            total = np.zeros(cells, np.uint8)
+            for i in own:
+                more = 1 + np.unpackbits(np.frombuffer(twice[i], np.uint8), count=len(sent[i]))
+                total[sent[i]] = np.minimum(total[sent[i]] + more, 2)
+            for i in own:
+                answer[i] = np.packbits(total[sent[i]] > 1).tobytes()
+        return table.set_column(3, ASK_SCHEMA.field(3), pa.array(answer, pa.binary())).set_column(4, ASK_SCHEMA.field(4), pa.array([b""] * len(answer), pa.binary())).cast(ASK_SCHEMA)
+
+    return asked.groupBy("shard").applyInArrow(of_shard, ASK)
+
+
+def estimated_repeated(keys: np.ndarray, all_keys: np.ndarray, told: pa.Table, shards: int, cells: int) -> np.ndarray:
+    """Which keys may occur twice, by what the shards have told the block about the sketch of all its keys."""
+    out = np.ones(len(keys), bool)
+    rows = zip(*(told.column(c).to_pylist() for c in ("kind", "shard", "h1")), strict=True)
+    bits = {(kind, shard): x for kind, shard, x in rows if kind < ROWS}
+    for row in range(ROWS):
+        at = np.unique(cells_of(all_keys, row, shards, cells))
+        shard = (at >> _32).astype(np.int64)
+        first = np.flatnonzero(np.diff(shard, prepend=-1))
+        size = np.diff(np.append(first, len(at)))
+        again = [np.unpackbits(np.frombuffer(bits[row, s], np.uint8), count=n) for s, n in zip(shard[first].tolist(), size.tolist(), strict=True)]
+        if again:
+            out &= np.concatenate(again)[np.searchsorted(at, cells_of(keys, row, shards, cells))] > 0
+    return out

@@ -2,12 +2,14 @@
 
 Pass one: every window of `window` words is represented by its anchor, the least-hashed shingle of
 half its words; equal windows at different places have equal anchors at different places, so an
-anchor is counted at least as often as any of its windows. Each partition counts its anchors in a
-count-min sketch; the merged sketch overestimates, so a window whose anchor is estimated below two
-occurs once and is dropped from all further work. Pass two groups the remaining windows exactly.
+anchor is counted at least as often as any of its windows. Each block of documents counts its anchors
+in a count-min sketch; the merged sketch overestimates, so a window whose anchor is estimated below
+two occurs once and is dropped from all further work. Pass two groups the remaining windows exactly,
+by two independent hashes of 61 bits each.
 
-The sketch is bounded by `sketch_bits` (a documented parameter, broadcast at most sketch_bits / 8
-bytes). A corpus that overfills it lets more windows through to the exact pass; it loses none.
+The merged sketch lives in shards, `cells` cells a row in each, as many shards as blocks: nothing is
+broadcast or gathered, and the load of a cell is the same at any size of the corpus. A sketch that is
+too full for its keys lets more windows through to the exact pass; it loses none.
 
 Defined results: a null text has no words; a null id is kept as an id of its own row; repeated rows
 are separate documents, so their windows repeat each other; other columns are ignored.
@@ -17,15 +19,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .sketch import Repeats, merged, shape
-from .text import _P, _Q, Words, buffer_of, cover, mix, range_hash, sliding
+from .sketch import ROWS, block_sketch, estimated_repeated, merged
+from .text import _P, _Q, Words, buffer_of, cover, mix, range_hash, sliding, tidy
 
 WINDOW = 35
-SKETCH_BITS = 1 << 30
+BLOCK_BYTES = 4 << 20
+CELLS = 1 << 19  # of a shard and row: about eight for each anchor of a block's bytes
 OUT = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int>>"
 
 
@@ -47,51 +51,54 @@ def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return starts, least[starts], shingle[selected & (shingle > 0)]
 
 
-def repeated_anchors(spark: SparkSession, docs: DataFrame, text: str, window: int, size: int, sketch_bits: int) -> Repeats:
-    k = window // 2 + 1
-    expected = size // 6 * 2 // (window - k + 2)
-    rows, bits = shape(expected, sketch_bits)
-
-    def keys(batch: pa.RecordBatch) -> np.ndarray:
-        return anchors(Words(*buffer_of(batch.column("text"))), window)[2]
-
-    only = docs.select(F.col(text).cast("string").alias("text"))
-    parts = merged(only, keys, "text", rows, bits, max(1, (rows << bits) >> 26)).select("part", "again").collect()
-    return Repeats(rows, bits, [(r.part, bytes(r.again)) for r in parts])
+class Block:
+    """A block's words and anchors, chunk by chunk, and what the sketch lets through."""
 
-
-def remove_repeated_windows(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, sketch_bits: int = SKETCH_BITS, block_bytes: int = X.BLOCK_BYTES) -> DataFrame:
+    def __init__(self, table: pa.Table, window: int):
+        self.window = window
+        self.chunks = []
+        for batch in X.one_block(table):
+            words = Words(*buffer_of(batch.column("text")))
+            self.chunks.append((batch, words, *anchors(words, window)))
+
+    def keys(self) -> np.ndarray:
+        """The hashes of all places that are anchors."""
+        return np.concatenate([np.zeros(0, np.uint64), *(at for *_, at in self.chunks)])
+
+    def candidates(self, told: pa.Table, shards: int, cells: int):
+        """(batch, words, starts and two hashes of the windows that may be repeated) of each chunk."""
+        all_keys = self.keys()
+        for batch, words, starts, least, _ in self.chunks:
+            if len(starts):
+                run = np.flatnonzero(np.diff(least, prepend=~least[0]))
+                keep = np.repeat(estimated_repeated(least[run], all_keys, told, shards, cells), np.diff(np.append(run, len(least))))
+                starts = starts[keep]
+            h1 = mix(range_hash(words.code, starts, starts + self.window, _P))
+            yield batch, words, starts, h1, words.windows2(self.window, starts)
+
+
+def remove_repeated_windows(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, cells: int = CELLS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: its words, the number removed, the kept words joined by one space, and the removed word ranges.
 
     A word goes if a window of `window` words of its document that covers it also starts at any
     other place of the corpus.
     """
-    size = X.text_bytes(docs, text)
-    n = X.blocks_for(size, block_bytes)
-    filter_ = spark.sparkContext.broadcast(repeated_anchors(spark, docs, text, window, size, sketch_bits))
+    n = X.blocks_for(X.text_bytes(docs, text), block_bytes)
     dealt = X.in_blocks(docs, id_col, text, n)
 
-    def candidates(batch: pa.RecordBatch) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-        words = Words(*buffer_of(batch.column("text")))
-        starts, least, _ = anchors(words, window)
-        if len(starts):
-            run = np.flatnonzero(np.diff(least, prepend=~least[0]))
-            keep = np.repeat(filter_.value.estimated_repeated(least[run]), np.diff(np.append(run, len(least))))
-            starts = starts[keep]
-        if not len(starts):
-            return words, starts, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        h1 = mix(range_hash(words.code, starts, starts + window, _P))
-        return words, starts, h1, words.windows2(window, starts)
-
-    def ask(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        found = [candidates(b)[2:] for b in X.one_block(table)]
+    def sketch(table: pa.Table) -> pa.Table:
+        return block_sketch(table.column("block")[0].as_py(), Block(table, window).keys(), n, cells)
+
+    def ask(table: pa.Table, told: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return X.empty_ask()
+        found = [x[3:] for x in Block(table, window).candidates(told, n, cells)]
         h1, h2 = (np.concatenate([f[i] for f in found]) for i in (0, 1))
         if not len(h1):
             return X.empty_ask()
         order, first = X.grouped(h1, h2)
         count = np.minimum(np.diff(np.append(first, len(order))), 2)
-        return X.packed(block, n, 0, h1[order][first], h2[order][first], count.astype(np.uint8))
+        return X.packed(table.column("block")[0].as_py(), n, ROWS, h1[order][first], h2[order][first], count.astype(np.uint8))
 
     def repeated(count: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         total = np.add.reduceat(count.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
@@ -99,19 +106,23 @@ def remove_repeated_windows(spark: SparkSession, docs: DataFrame, id_col: str =
         return keep, np.zeros(len(count), np.uint8)
 
     def finish(table: pa.Table, told: pa.Table) -> pa.Table:
-        h1, h2, _, _ = X.unpacked(told, np.uint8)
+        if not table.num_rows:
+            return _SCHEMA.empty_table()
+        h1, h2, _, _ = X.unpacked(told.filter(pa.compute.equal(told.column("kind"), ROWS)), np.uint8)
         order = np.lexsort((h2, h1))
         h1, h2 = h1[order], h2[order]
         out = []
-        for batch in X.one_block(table):
-            words, starts, a, b = candidates(batch)
+        for batch, words, starts, a, b in Block(table, window).candidates(told, n, cells):
             hit = starts[X.found(h1, h2, a, b) >= 0]
             gone = cover(hit, window, len(words.start))
             out.append(_kept(batch.column("id"), words, gone))
-        return pa.concat_tables(out) if out else _SCHEMA.empty_table()
+        tidy()
+        return pa.concat_tables(out)
 
-    told = X.answers(dealt.groupBy("block").applyInArrow(ask, X.ASK), np.uint8, X.by_string(repeated))
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(finish, OUT)
+    by_block = dealt.groupBy("block")
+    estimates = merged(by_block.applyInArrow(sketch, X.ASK), cells)
+    windows = X.answers(by_block.cogroup(estimates.groupBy("block")).applyInArrow(ask, X.ASK), np.uint8, X.by_string(repeated))
+    return by_block.cogroup(estimates.unionByName(windows).groupBy("block")).applyInArrow(finish, OUT)
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
@@ -153,3 +164,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = remove_repeated_windows(spark, docs)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+with d as materialized (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+starts as (select r, unnest(range(1, len(w) - 33)) as i from d),
+windows as (select r, i, array_to_string(list_slice(w, i, i + 34), ' ') as x from starts join d using (r)),
+again as (select r, i from windows where x in (select x from windows group by x having count(*) > 1)),
+words as (select r, unnest(w) as x, generate_subscripts(w, 1) as k from d),
+judged as (select words.r, k, x, max(i) over (partition by words.r order by k rows between 34 preceding and current row) is not null as gone from words left join again on again.r = words.r and again.i = words.k)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join (select r, count(*) filter (where gone) as n_removed, string_agg(x, ' ' order by k) filter (where not gone) as kept from judged group by r) using (r)
+"""
