@@ -45,12 +45,13 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     rows = judged.groupBy(F.when(words, F.col("class")).alias("class"), alone.alias("alone"), "doc_id", "key").agg(F.count("*").alias("n"))
     first = rows.groupBy("class", "alone").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "n")).alias("first"))
     chosen = written(first.select(F.col("first.doc_id").alias("chosen_id"), F.col("first.key").alias("chosen_key"), F.col("first.n").alias("chosen_n")), "chosen")
-    same = F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (near_dedup.row_key("doc_id", "text") == F.col("chosen_key"))
-    stay = docs.join(chosen, same)
+    held = docs.select(F.struct(*docs.columns).alias("row"))  # whatever its columns are called
+    same = F.col("row.doc_id").eqNullSafe(F.col("chosen_id")) & (near_dedup.row_key("row.doc_id", "row.text") == F.col("chosen_key"))
+    stay = held.join(chosen, same)
     if not chosen.filter("chosen_n > 1").limit(1).count():
-        return stay.select(*docs.columns)
-    equal = stay.filter("chosen_n > 1").groupBy("doc_id", "text").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return stay.filter("chosen_n = 1").select(*docs.columns).unionByName(equal.select("row.*"))
+        return stay.select("row.*")
+    equal = stay.filter("chosen_n > 1").groupBy("row.doc_id", "row.text").agg(F.min("row").alias("row"))
+    return stay.filter("chosen_n = 1").select("row.*").unionByName(equal.select("row.*"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
