@@ -7,7 +7,8 @@ or extends packing patterns but never looks at single documents.
 
 A pattern's slots are runs of ranks: the k-th piece of a length, in the order of (partition, place
 within it), belongs to the run that k falls in. Ranks come from counts by partition and length, so
-that pieces meet their sequences without any global sort and without a hot key.
+that pieces meet their sequences without any global sort and without a hot key. Where these counts are few
+they are broadcast, so that no piece moves.
 
 Defined results: a null text is an empty one; every document has one more token, `end_id`, at its
 end, so an empty one is a single piece of one token. Ids may repeat or be null; each row is packed.
@@ -25,12 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import codec
+from .bpe import CHUNK, codec
 from .shared import written
-from .text import rows_of
+from .text import rows_of, tidied
 
 SIZE = 1024
-CHUNK = 4 << 20
+PUT_ROWS = 1024  # pieces that are widened at once
+BROADCAST_COUNTS = 250_000  # of some 160 bytes each in a task
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
@@ -119,7 +121,7 @@ def pieces(docs: DataFrame, path: str, id_col: str, text: str, size: int, end_id
             yield pa.record_batch(columns, schema=_PIECES)
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return picked.mapInArrow(run, "part long, length long, place long, doc_id long, start long, doc_tokens long, ids binary")
+    return picked.mapInArrow(tidied(run), "part long, length long, place long, doc_id long, start long, doc_tokens long, ids binary")
 
 
 def id_kind(c) -> str:
@@ -129,15 +131,15 @@ def id_kind(c) -> str:
 def pack(spark: SparkSession, docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", size: int = SIZE, end_id: int = 0) -> DataFrame:
     """Per piece: its document, place there, ids as little-endian unsigned 32-bit integers, its sequence and place in it."""
     cut = written(pieces(docs, path, id_col, text, size, end_id), "pieces")
-    counts = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
-    histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    counts = written(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
+    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     placement = Placement(shortest_pack_first(histogram, size))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("base"))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = id_kind(codec(path, library=True))
-        for batch in batches:
+        for batch in (b.slice(i, PUT_ROWS) for b in batches for i in range(0, b.num_rows, PUT_ROWS)):
             length, place, base = (batch.column(c).to_numpy() for c in ("length", "place", "base"))
             sequence, offset = placement(length, place + base)
             raw = batch.column("ids").cast(pa.binary())
@@ -146,8 +148,9 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, id_col: str = "doc_id"
             wide = _packed(ids, (begin - begin[0]) // np.dtype(kind).itemsize, "<u4")
             yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "start", "length")), wide, batch.column("doc_tokens"), pa.array(sequence), pa.array(offset)], schema=_PACKED)
 
-    ranked = cut.join(bases, ["part", "length"]).select("length", "place", "base", "doc_id", "start", "doc_tokens", "ids")
-    return ranked.mapInArrow(put, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    few = counts.count() <= BROADCAST_COUNTS  # else pieces move once, to meet their partition's ranks
+    ranked = cut.join(F.broadcast(bases) if few else bases, ["part", "length"]).select("length", "place", "base", "doc_id", "start", "doc_tokens", "ids")
+    return ranked.mapInArrow(tidied(put), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
