@@ -8,10 +8,12 @@ reject, and so on until no level errs. A key's first failing level tells whether
 membership is exact for every key of the corpus and no url is joined with anything.
 
 Every level is as large as the list (or the errors that are left) times a logarithm of the
-universe's size, and is folded into the plan as a constant.
+universe's size, and is folded into the plan as a constant: `max_bits` bounds it, and a list whose
+filter would be larger is an error.
 
 Defined results: a null url or one without "://" has an empty host and path and fits no rule; a url
-that no rule fits gets `default`; of fitting rules the longest (host and path together) wins.
+that no rule fits gets `default`; of fitting rules the longest (host and path together) wins, of
+equally long ones the last in the alphabet; rows may repeat, and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -100,7 +102,10 @@ class Cascade:
         return out
 
 
-def cascade(universe: DataFrame, listed: Column, max_levels: int = 40) -> Cascade:
+MAX_BITS = 1 << 24  # of a filter, some 200,000 listed keys in a corpus of 10**12
+
+
+def cascade(universe: DataFrame, listed: Column, max_levels: int = 40, max_bits: int = MAX_BITS) -> Cascade:
     """The cascade of the keys that `listed` marks, over a universe of distinct keys in column `key`."""
     levels: list[Level] = []
     inside = universe.filter(listed).select("key")
@@ -110,6 +115,8 @@ def cascade(universe: DataFrame, listed: Column, max_levels: int = 40) -> Cascad
         odds = max(2.0, n_out / n_in) if not levels else 2.0
         hashes = max(1, math.ceil(math.log2(odds)))
         bits = max(64, math.ceil(n_in * hashes / math.log(2)))
+        if bits > max_bits:
+            raise ValueError(f"a filter of {n_in} keys needs {bits} bits, more than {max_bits}")
         level = Level.of(inside, len(levels), bits, hashes)
         levels.append(level)
         errors = checkpointed(outside.filter(level.holds(F.col("key"))))

@@ -35,7 +35,7 @@ CRLF = "\r\n"
 FILE_BYTES = 32 << 20
 BLOCK_LINES = 512
 SHARD_LINES = 16 << 10
-MAX_SHARDS = 4096
+MAX_SHARDS = 1 << 16  # in the directory that every task has; 16,384 captures in each make 10**9
 BROADCAST_DIGESTS = 200_000  # of 48 bytes each
 
 
@@ -183,9 +183,10 @@ class CaptureIndex:
 
     def locate(self, requests: DataFrame) -> DataFrame:
         """(key, file, offset, length) of all captures of the requested keys (column `key`)."""
-        firsts, shards = self.firsts, self.shards
+        directory_ = self.spark.sparkContext.broadcast((self.firsts, self.shards))
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            firsts, shards = directory_.value
             for batch in batches:
                 out = [(s, k) for k in batch.column("key").to_pylist() for s in _reach(firsts, shards, k)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.string())], ["shard", "key"])
