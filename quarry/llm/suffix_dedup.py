@@ -3,11 +3,13 @@
 A rolling hash of the last bytes triggers phrase ends, wherever the bytes occur, so copied text is cut
 alike. The dictionary of distinct phrases (with the bytes that a window may reach beyond them) gives
 each phrase the smallest id that holds it: what a later document copied is decided phrase by phrase,
-and only the text of a phrase's first holder goes on. There, windows are left whose anchor (the
-least-hashed gram in them) another document holds too. Of these few, each block of documents builds
-the dictionary's suffix array, the parse's suffix array, and from both the order of its suffixes: runs
-of neighbours that share a whole window have its smallest id in the block. Blocks compare what their
-windows hold around an anchor by content, as no order deeper than a window is needed between blocks.
+and only the text of a phrase's first holder goes on. There, a window is left if its anchor (the
+least-hashed gram in it) is held by another document too; any other window occurs once and its place
+in the corpus's order decides nothing. What is left is put into order: the bytes around each anchor
+go to the shard that the anchor names, so equal windows meet in one shard. A shard parses its text
+into phrases again, finer, builds the dictionary's suffix array and the parse's suffix array, and
+combines both into the order of the suffixes at which windows begin. Neighbours that share a whole
+window have the smallest id among them.
 
 Every exchange is between blocks and shards of a fixed size (see exchange.py), so a passage that a
 third of the corpus holds is one entry a block.
@@ -29,11 +31,12 @@ from pyspark.sql.types import StructType
 
 from . import exchange as X
 from .suffix import prefix_free_order
-from .text import _P, _Q, _R, BYTE_CODES, buffer_of, cover, mix, range_hash, sliding
+from .text import _P, _Q, _R, buffer_of, cover, mix, range_hash, sliding, tidy
 
 WINDOW, GRAM, TRIGGER = 50, 24, 8
 PHRASE_BITS, PARSE_BITS = 7, 5  # a trigger in 2**bits places: of documents, of what is sorted
 CHUNK = 1 << 19
+SORTED_AT_ONCE = 4096  # contexts, more if one anchor has more
 BLOCK_BYTES = 4 << 20
 _NONE = np.int64(np.iinfo(np.int64).max)
 OUT = "doc_id long, n_bytes long, n_removed long, kept binary, spans array<struct<start:int,end:int>>"
@@ -74,10 +77,8 @@ class Chunk:
         limit = np.minimum(np.append(self.start[1:], n), self.offsets[1:][doc] - self.window + 1)
         self.stop = np.maximum(limit, self.start + 1)  # windows that begin in the phrase
         whole = self.stop + self.window - 1
-        code = BYTE_CODES[self.raw]
-        size = (whole - self.start).astype(np.uint64)
-        self.h1 = mix(range_hash(code, self.start, whole, _P) ^ size)
-        self.h2 = mix(range_hash(code * _R, self.start, whole, _Q))
+        self.h1 = mix(range_hash(self.raw, self.start, whole, _P))
+        self.h2 = mix(range_hash(self.raw, self.start, whole, _Q))
         self.holder = self.id[doc] if len(doc) else np.zeros(0, np.int64)
 
     def copied(self, least: np.ndarray) -> np.ndarray:
@@ -88,12 +89,12 @@ class Chunk:
         np.subtract.at(delta, self.stop[gone], 1)
         return np.cumsum(delta[:-1]) > 0
 
-    def anchors(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(wanted window starts, their least grams, places of all least grams of wanted windows, these grams)."""
+    def anchors(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the least grams of wanted windows, these grams)."""
         span = self.window - GRAM + 1
         n = len(self.raw) - self.window + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         eight = _eight(self.raw)
         gram = mix(mix(eight[: n + span - 1] * _P ^ (eight[8 : n + span + 7] * _Q + _R)) ^ eight[GRAM - 8 : n + span + GRAM - 9] * _R)
         del eight
@@ -101,8 +102,7 @@ class Chunk:
         lined = np.zeros(n + 2 * (span - 1), np.uint64)
         lined[span - 1 : span - 1 + n] = np.where(wanted[:n], least, 0)
         selected = np.flatnonzero((sliding(np.maximum, lined, span) == gram) & (gram > 0))
-        starts = np.flatnonzero(wanted[:n])
-        return starts, least[starts], selected, gram[selected]
+        return selected, gram[selected]
 
 
 def _eight(raw: np.ndarray) -> np.ndarray:
@@ -137,47 +137,8 @@ def meet(asked1: np.ndarray, asked2: np.ndarray, *tables: tuple[np.ndarray, np.n
     return out
 
 
-def smallest_in_block(chunk_windows: list[tuple[Chunk, np.ndarray]], window: int) -> list[np.ndarray]:
-    """The smallest id in the block that holds each of the given windows (by start), chunk by chunk.
-
-    The text that the windows cover is parsed and suffix-sorted; in that order equal windows are neighbours.
-    """
-    pieces, ends, ids, is_start, at = [], [], [], [], 0
-    for chunk, starts in chunk_windows:
-        if not len(starts):
-            continue
-        place = np.flatnonzero(cover(starts, window, len(chunk.raw)))
-        doc = chunk.doc_of(place)
-        new = np.ones(len(place), bool)  # a region goes on while its windows overlap and its document is one
-        new[1:] = (np.diff(place) > 1) | (doc[1:] != doc[:-1])
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(place)))
-        pieces.append(chunk.raw[place])
-        ends.append(at + np.repeat(first + size, size))
-        ids.append(chunk.id[doc])
-        flags = np.zeros(len(chunk.raw), bool)
-        flags[starts] = True
-        is_start.append(flags[place])
-        at += len(place)
-    if not pieces:
-        return [np.zeros(0, np.int64)] * len(chunk_windows)
-    symbols, end, id_, start = map(np.concatenate, (pieces, ends, ids, is_start))
-    eight = _eight(symbols)
-    order = prefix_free_order(symbols, end, triggers(eight, PARSE_BITS), TRIGGER, start)
-    same = np.ones(len(order) - 1, bool)  # neighbours that share a whole window
-    for k in [*range(0, window - 8, 8), window - 8]:
-        x = eight[order + k]
-        same &= x[1:] == x[:-1]
-    first = np.flatnonzero(np.concatenate([[True], ~same]))
-    least = np.minimum.reduceat(id_[order], first)
-    number = (np.cumsum(start) - 1)[order]  # of the windows, by start
-    out = np.empty(len(number), np.int64)
-    out[number] = np.repeat(least, np.diff(np.append(first, len(number))))
-    return np.split(out, np.cumsum([len(starts) for _, starts in chunk_windows])[:-1])
-
-
 def contexts(chunk: Chunk, places: np.ndarray, gram: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(entries, hashes) of the text around anchors: what any window with the anchor can hold, and its document.
+    """(entries, hashes) of the text around anchors: all that windows with the anchor can hold, and its document.
 
     Bytes beyond the document are zero, and left and right say how many there are within it.
     """
@@ -187,54 +148,78 @@ def contexts(chunk: Chunk, places: np.ndarray, gram: np.ndarray, window: int) ->
     out["id"] = chunk.id[doc]
     out["left"] = np.minimum(places - chunk.offsets[:-1][doc], side)
     out["right"] = np.minimum(chunk.offsets[1:][doc] - places - GRAM, side)
-    padded = np.concatenate([np.zeros(side, np.uint8), chunk.raw, np.zeros(side, np.uint8)])
-    view = np.lib.stride_tricks.sliding_window_view(padded, side) if len(padded) >= side else padded.reshape(0, side)
-    before, after = view[places].copy(), view[places + side + GRAM].copy()
-    column = np.arange(side)
-    before[column < side - out["left"][:, None]] = 0
-    after[column >= out["right"][:, None]] = 0
-    out["text"][:, :side], out["text"][:, side:] = before, after
+    width = GRAM + 2 * side
+    padded = np.concatenate([np.zeros(side, np.uint8), chunk.raw, np.zeros(side + GRAM, np.uint8)])
+    text = np.lib.stride_tricks.sliding_window_view(padded, width)[places].copy()
+    column = np.arange(width)
+    text[(column < side - out["left"][:, None]) | (column >= side + GRAM + out["right"][:, None])] = 0
+    out["text"] = text
     h = mix(gram ^ out["left"].astype(np.uint64) * _P ^ out["right"].astype(np.uint64) * _Q)
-    words = np.ascontiguousarray(np.pad(out["text"], ((0, 0), (0, -2 * side % 8)))).view(np.uint64)
+    words = np.ascontiguousarray(np.pad(text, ((0, 0), (0, -width % 8)))).view(np.uint64)
     for i in range(words.shape[1]):
         h = mix(h ^ words[:, i] * _R)
     return out, h
 
 
 def context_type(window: int) -> np.dtype:
-    return np.dtype([("id", "<i8"), ("left", "u1"), ("right", "u1"), ("text", "u1", (2 * (window - GRAM),))])
+    return np.dtype([("id", "<i8"), ("left", "u1"), ("right", "u1"), ("text", "u1", (2 * window - GRAM,))])
+
+
+def every_window(left: np.ndarray, right: np.ndarray, window: int) -> np.ndarray:
+    """Contexts x how far a window begins before the anchor: whether that window is within the document."""
+    back = np.arange(window - GRAM + 1)
+    return (left[:, None] >= back) & (right[:, None] >= window - GRAM - back)
 
 
 def earlier_windows(window: int) -> X.Decision:
     """Of each context, the windows (a bit each, by how far they begin before the anchor) that a smaller id holds."""
-    side = window - GRAM
 
-    def decision(gram: np.ndarray, _: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(gram)
-        if not n:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        left, right = entry["text"][:, :side], entry["text"][:, side:]
-        suffix, prefix = np.zeros((side + 1, n), np.uint64), np.zeros((side + 1, n), np.uint64)
-        for i in range(side):
-            suffix[i + 1] = suffix[i] * _P + left[:, side - 1 - i] + np.uint64(1)
-            prefix[i + 1] = prefix[i] * _Q + right[:, i] + np.uint64(1)
-        mask = np.zeros(n, np.int64)
-        for back in range(side + 1):
-            own = np.flatnonzero((entry["left"] >= back) & (entry["right"] >= side - back))
-            if not len(own):
-                continue
-            a = mix(gram[own] ^ mix(suffix[back][own]) * _R ^ prefix[side - back][own])
-            order, first = X.grouped(a, mix(gram[own] + suffix[back][own] * _Q) ^ mix(prefix[side - back][own] * _P))
-            id_ = entry["id"][own][order]
-            least = np.repeat(np.minimum.reduceat(id_, first), np.diff(np.append(first, len(order))))
-            hit = own[order[least < id_]]
-            mask[hit] |= np.int64(1) << np.int64(back)
+    def decision(gram: np.ndarray, h: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mask = np.zeros(len(gram), np.int64)
+        by = np.lexsort((h, gram))
+        edges = np.append(np.flatnonzero(np.diff(gram[by], prepend=~gram[by[:1]])), len(gram))
+        at = 0
+        while at < len(gram):  # contexts with one anchor stay together
+            end = int(edges[max(np.searchsorted(edges, at + SORTED_AT_ONCE, "right") - 1, np.searchsorted(edges, at, "right"))])
+            mask[by[at:end]] = _ordered(entry[by[at:end]], window)
+            at = end
+        tidy()
         chosen = np.flatnonzero(mask)
         return chosen, mask[chosen]
 
     return decision
 
 
+def _ordered(entry: np.ndarray, window: int) -> np.ndarray:
+    """The decision for some contexts, from the order of the suffixes that begin with a window."""
+    side, width = window - GRAM, 2 * window - GRAM
+    column = np.arange(width)
+    left, right = entry["left"].astype(np.int64), entry["right"].astype(np.int64)
+    inside = (column >= side - left[:, None]) & (column < side + GRAM + right[:, None])
+    symbols = entry["text"][inside]
+    size = left + GRAM + right
+    begins = np.zeros((len(entry), width), bool)
+    begins[:, : side + 1] = every_window(left, right, window)[:, ::-1]
+    owner, place = np.nonzero(begins)
+    wanted = begins[inside]
+    if not len(owner):
+        return np.zeros(len(entry), np.int64)
+    eight = _eight(symbols)
+    order = prefix_free_order(symbols, np.repeat(np.cumsum(size), size), triggers(eight, PARSE_BITS), TRIGGER, wanted)
+    same = np.ones(len(order) - 1, bool)  # neighbours that share a whole window
+    for k in [*range(0, window - 8, 8), window - 8]:
+        x = eight[order + k]
+        same &= x[1:] == x[:-1]
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    number = (np.cumsum(wanted) - 1)[order]  # of the windows, context by context
+    id_ = entry["id"][owner[number]]
+    least = np.repeat(np.minimum.reduceat(id_, first), np.diff(np.append(first, len(order))))
+    hit = number[least < id_]
+    held = np.zeros((len(entry), side + 1), np.int64)
+    held[owner[hit], side - place[hit]] = 1
+    return held @ (np.int64(1) << np.arange(side + 1, dtype=np.int64))
+
+
 class Block:
     """A block's chunks and what the shards have told it so far, by kind."""
 
@@ -260,18 +245,13 @@ class Block:
             out.append((copied, c.valid() & ~copied))
         return out
 
-    def candidates(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(copied windows, starts of the other windows whose anchor another document holds, these anchors' places, their grams) of each chunk."""
+    def candidates(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(copied windows, places of the anchors of other windows that another document holds too, their grams) of each chunk."""
         out = []
         for c, (copied, wanted) in zip(self.chunks, self.first_held(), strict=True):
-            starts, least, places, gram = c.anchors(wanted)
-            if len(starts):
-                run = np.flatnonzero(np.diff(least, prepend=~least[0]))
-                hit = np.isin(least[run], self.told[1][0])
-                starts = starts[np.repeat(hit, np.diff(np.append(run, len(least))))]
-                hit = np.isin(gram, self.told[1][0])
-                places, gram = places[hit], gram[hit]
-            out.append((copied, starts, places, gram))
+            places, gram = c.anchors(wanted)
+            hit = np.isin(gram, self.told[1][0])
+            out.append((copied, places[hit], gram[hit]))
         return out
 
 
@@ -297,7 +277,7 @@ def remove_earlier_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "do
         block = Block(table, told, window)
         grams, ids = [], []
         for c, (_, wanted) in zip(block.chunks, block.first_held(), strict=True):
-            _, _, places, gram = c.anchors(wanted)
+            places, gram = c.anchors(wanted)
             grams.append(gram)
             ids.append(c.id[c.doc_of(places)])
         gram, id_ = np.concatenate(grams), np.concatenate(ids)
@@ -307,32 +287,40 @@ def remove_earlier_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "do
         several = np.minimum.reduceat(id_, first) != np.maximum.reduceat(id_, first) if len(first) else np.zeros(0, bool)
         return X.packed(table.column("block")[0].as_py(), n, 1, gram[first], np.zeros(len(first), np.uint64), several.astype(np.int64))
 
+    def left_over(block: Block) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
+        """The candidates by chunk; then of all of the block's contexts, one each: gram, hash, entry with the smallest id."""
+        found = block.candidates()
+        around = [(gram, *contexts(c, places, gram, window)) for c, (_, places, gram) in zip(block.chunks, found, strict=True)]
+        gram, entry, h = (np.concatenate([x[i] for x in around]) for i in range(3))
+        order, first = X.grouped(gram, h)
+        one = order[first]
+        distinct = entry[one]
+        if len(first):
+            distinct["id"] = np.minimum.reduceat(entry["id"][order], first)
+        return [(*f, x[2], x[1]) for f, x in zip(found, around, strict=True)], gram[one], h[one], distinct
+
     def ask_windows(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
             return X.empty_ask()
-        block = Block(table, told, window)
-        found = [(gram, *contexts(c, places, gram, window)) for c, (_, _, places, gram) in zip(block.chunks, block.candidates(), strict=True)]
-        gram, entry, h = (np.concatenate([f[i] for f in found]) for i in range(3))
-        order, first = X.grouped(gram, h)
-        if len(first):
-            entry["id"][order[first]] = np.minimum.reduceat(entry["id"][order], first)
-        one = order[first]
-        return X.packed(table.column("block")[0].as_py(), n, 2, gram[one], h[one], entry[one])
+        return X.packed(table.column("block")[0].as_py(), n, 2, *left_over(Block(table, told, window))[1:])
 
     def finish(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
             return schema.empty_table()
         block = Block(table, told, window)
-        found = block.candidates()
-        least = smallest_in_block([(c, f[1]) for c, f in zip(block.chunks, found, strict=True)], window)
+        found, gram, h, distinct = left_over(block)
         h1, h2, mask = block.told[2]
+        at = X.found(h1, h2, gram, h)
+        told_mask = np.where(at >= 0, mask[at], 0) if len(mask) else np.zeros(len(gram), np.int64)
+        bits = np.int64(1) << np.arange(window - GRAM + 1, dtype=np.int64)
         out = []
-        for c, (copied, starts, places, gram), id_ in zip(block.chunks, found, least, strict=True):
-            gone = [np.flatnonzero(copied), starts[id_ < c.id[c.doc_of(starts)]]]
-            at = X.found(h1, h2, gram, contexts(c, places, gram, window)[1])
-            places, bits = places[at >= 0], mask[at[at >= 0]]
-            gone += [places[(bits >> back) & 1 > 0] - back for back in range(window - GRAM + 1)]
+        for c, (copied, places, own, own_h, entry) in zip(block.chunks, found, strict=True):
+            at = X.found(gram, h, own, own_h)
+            later = entry["id"] > distinct["id"][at]  # a smaller id of this very block holds all of the context
+            held = np.where(later, every_window(entry["left"], entry["right"], window) @ bits, told_mask[at])
+            gone = [np.flatnonzero(copied), *(places[held & bit > 0] - back for back, bit in enumerate(bits))]
             out.append(_kept(c, cover(np.concatenate(gone), window, len(c.raw)), schema))
+        tidy()
         return pa.concat_tables(out)
 
     def smallest(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -375,3 +363,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = remove_earlier_bytes(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+with d as materialized (select row_number() over () as r, doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') as p from documents),
+b1 as (select r, unnest(p) as x1, generate_subscripts(p, 1) as k from d),
+b2 as (select *, x1 || lead(x1, 1) over w as x2 from b1 window w as (partition by r order by k)),
+b4 as (select *, x2 || lead(x2, 2) over w as x4 from b2 window w as (partition by r order by k)),
+b8 as (select r, k, x1, x2, x4 || lead(x4, 4) over w as x8 from b4 window w as (partition by r order by k)),
+b16 as (select r, k, x1, x2, x8 || lead(x8, 8) over w as x16 from b8 window w as (partition by r order by k)),
+b32 as (select *, x16 || lead(x16, 16) over w as x32 from b16 window w as (partition by r order by k)),
+windows as (select r, k, x1 as b, x32 || lead(x16, 32) over w || lead(x2, 48) over w as x from b32 window w as (partition by r order by k)),
+owned as (select doc_id, r, k, b, x from windows join (select r, doc_id from d) using (r)),
+firsts as (select x, min(doc_id) as first_id from owned where x is not null group by x having min(doc_id) < max(doc_id)),
+marked as (select r, k, b, coalesce(first_id < doc_id, false) as copied from owned left join firsts using (x)),
+judged as (select r, k, b, max(case when copied then k end) over (partition by r order by k rows between 49 preceding and current row) is not null as gone from marked),
+edged as (select *, gone and not coalesce(lag(gone) over (partition by r order by k), false) as begins from judged)
+select doc_id, cast(len(p) as bigint) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from d left join (select r, count(*) filter (where gone) as n_removed, count(*) filter (where begins) as n_spans, string_agg(b, '' order by k) filter (where not gone) as kept from edged group by r) using (r)
+"""

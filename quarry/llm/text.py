@@ -222,12 +222,6 @@ class Words:
         at = np.flatnonzero(self.doc[:n] == self.doc[k - 1 :])
         return at, mix(range_hash(self.code, at, at + k, _Q))
 
-    def windows2(self, k: int, at: np.ndarray) -> np.ndarray:
-        """A second, independent hash of the windows at the given starts, from second hashes of the words."""
-        if not len(at):
-            return np.zeros(0, U64)
-        return mix(range_hash(mix(range_hash(self.raw, self.start, self.end, _R)), at, at + k, _R))
-
 
 def sliding(ufunc: np.ufunc, values: np.ndarray, w: int) -> np.ndarray:
     """ufunc over values[i:i+w] for each i, by doubling spans."""
