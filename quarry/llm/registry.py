@@ -18,7 +18,11 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": substring_dedup.ORACLE,
     "op3_warc": warc.ORACLE,
+    "op5_suffix_dedup": suffix_dedup.ORACLE,
+    "op6_quality_rules": quality.ORACLE,
+    "op8_near_dedup": near_dedup.ORACLE,
     "op9_topk": topk.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }

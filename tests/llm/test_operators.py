@@ -67,7 +67,7 @@ def test_substring_dedup(spark, docs, rows):
 
 
 def test_a_full_sketch_loses_nothing(spark, docs):
-    full = {(r.doc_id, r.kept_text) for r in substring_dedup.remove_repeated_windows(spark, docs, window=12, sketch_bits=1 << 19).collect()}
+    full = {(r.doc_id, r.kept_text) for r in substring_dedup.remove_repeated_windows(spark, docs, window=12, cells=16).collect()}
     assert full == {(r.doc_id, r.kept_text) for r in substring_dedup.remove_repeated_windows(spark, docs, window=12).collect()}
 
 
@@ -136,7 +136,12 @@ def test_quality(docs, rows):
     got = quality.quality(docs.unionByName(docs.sparkSession.createDataFrame([(1000 + i, t) for i, t in enumerate(more)], "doc_id long, text string"), allowMissingColumns=True)).collect()
     want = [(i, *brute_quality(t)) for i, t in [*rows, *((1000 + i, t) for i, t in enumerate(more))]]
     assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)) for r in got)
-    assert all(not (r.base_failed and r.kept) for r in got)
+    for r, (_, t) in ((r, x) for r in got for x in [*rows, *((1000 + i, t) for i, t in enumerate(more))] if r.doc_id == x[0] and r.n_words == len(as_words(x[1])) and r.word_chars == sum(map(len, as_words(x[1])))):
+        w = as_words(t)
+        count = collections.Counter(tuple(w[i : i + 4]) for i in range(len(w) - 3))
+        inside = [any(count[tuple(w[j : j + 4])] > 1 for j in range(max(0, i - 3), min(i, len(w) - 4) + 1)) for i in range(len(w))]
+        assert r.n_covered_words == sum(inside)
+        assert r.kept == (not r.base_failed and sum(inside) <= 0.5 * len(w) and r.longest_repeat <= 50)
     assert {r.longest_repeat for r in got if r.doc_id == 1002} == {60}
 
 
@@ -185,7 +190,7 @@ def test_codec(name, library):
     from tokenizers import Tokenizer
 
     codec, theirs = bpe.Codec(tokenizers.path(name), library), Tokenizer.from_file(tokenizers.path(name))
-    codec.words.limit = 50  # emptied often
+    codec.words.limit = 4000  # emptied often
     r = random.Random(1)
     texts = [*TEXTS, None, *("".join(r.choice("ab 'stmdrevl\n.1é") for _ in range(40)) for _ in range(300))]
     for part in (texts, texts[5:9], [None]):
@@ -240,6 +245,9 @@ def test_shortest_pack_first_places_everything():
             for x in lengths:
                 placed[x] += n
         assert dict(placed) == histogram
+    many = {n: r.randint(1, 300) for n in range(1, 1025)}
+    packs = packing.shortest_pack_first(many, 1024)
+    assert sum(n * k for n, k in many.items()) >= 0.99 * 1024 * sum(n for n, _ in packs)
 
 
 # 8
@@ -292,6 +300,51 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     assert {x.component_id for x in got} == {0} and len(got) == 40
 
 
+def test_many_near_copies_in_blocks(spark, monkeypatch):
+    """Several large families, dealt in many blocks: the classes are those of all links, near ones that are no links included."""
+    monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 50)
+    monkeypatch.setattr(near_dedup, "CLUSTER_BLOCK", 50)
+    r = random.Random(12)
+    rows = []
+    for family in range(3):
+        base = prose(120, 70 + family, 10**5).split()
+        for _ in range(200):
+            w = list(base)
+            for _ in range(r.choice([1, 2, 3, 4, 6, 9])):
+                w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    got = near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85).collect()
+    want = {d: c for d, _, c in brute_classes(rows, 3, 85)}
+    assert {x.doc_id: x.component_id for x in got} == want
+    assert 10 < len(set(want.values())) < 500
+
+
+def test_components():
+    """Spanning stars connect what the edges connect; the rounds of components() too, on a long path."""
+    from quarry.llm.graph import spanning_stars
+
+    r = np.random.default_rng(8)
+    for n, m in ((10, 4), (200, 150), (2000, 1500), (500, 3000)):
+        a, b = r.integers(0, n, m), r.integers(0, n, m)
+        root = np.arange(n)
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            p, q = root[x], root[y]
+            root[root == max(p, q)] = min(p, q)
+        low, node = spanning_stars(a, b)
+        want = {i: root[i] for i in range(n) if root[i] != i}
+        assert dict(zip(node.tolist(), low.tolist(), strict=True)) == want
+
+
+def test_components_of_a_path(spark):
+    from quarry.llm.graph import components
+
+    order = list(range(300))
+    random.Random(3).shuffle(order)
+    edges = [*zip(order, order[1:], strict=False), (1000, 1001), (1001, 1002), (1003, 1003)]
+    got = {x.node: x.label for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len({got[i] for i in range(300)}) == 1 and got[1000] == got[1001] == got[1002] != got[0]
+
+
 def test_near_dedup_of_nothing(spark, docs):
     assert near_dedup.near_duplicates(spark, empty(docs)).count() == 0
 
@@ -345,7 +398,7 @@ def test_top_k(spark):
     data = [(int(i), [float(x) for x in r.normal(size=6).astype(np.float32)]) for i in range(300)]
     data += [(300, None), (350, [float("nan")] * 6), (400, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (None, [1.0] * 6), (450, [0.5, 0.5]), (451, [0.5, 0.25])] + [(500 + i, data[7][1]) for i in range(20)]
     frame = spark.createDataFrame(data, "vec_id long, embedding array<float>")
-    got = [tuple(x) for x in topk.top_k(spark, frame, "id % 50 = 0", shard_rows=60, block_queries=3).collect()]
+    got = [tuple(x) for x in topk.top_k(spark, frame, "id % 50 = 0", shard_rows=20).collect()]
     good = {i: [int(np.floor(256 * float(x))) for x in v] for i, v in data if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     want = []
     for q in [i for i in good if i % 50 == 0]:
@@ -428,6 +481,88 @@ def test_rows_of_covers_everything():
     assert [r for p in parts for r in p.column(0).to_pylist()] == batch.column(0).to_pylist() + batch.column(0).to_pylist()[2:]
 
 
+def test_empty_tables_of_others(spark, docs, tmp_path):
+    nothing = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert topk.top_k(spark, nothing, "id % 50 = 0").count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write_archives(pages, f"file://{tmp_path}/warc")
+    warc.build_index(spark, f"file://{tmp_path}/warc", f"{tmp_path}/cdx")
+    assert warc.read_records(warc.CaptureIndex(spark, f"{tmp_path}/cdx").locate(warc.request_keys(pages))).count() == 0
+    model = language_id.learn(docs)
+    assert language_id.predict(empty(docs), model).count() == 0 and language_id.keep_known(empty(docs), model).count() == 0
+
+
+def test_top_k_beyond_64_bits(spark):
+    data = [(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 0.0]), (3, [1.0, 1.0]), (50, [2.0, 3.0]), (100, [1e18, -1e18])]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = [tuple(x) for x in topk.top_k(spark, frame, "id % 50 = 0").collect()]
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in data}
+    want, most = [], 2**63 - 1
+    for q in (0, 50, 100):
+        scores = sorted((-max(-most, min(most, sum(a * b for a, b in zip(whole[q], v, strict=True)))), i) for i, v in whole.items() if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    assert sorted(got) == sorted(want)
+
+
+def test_splits_deal_evenly():
+    rows = np.random.default_rng(5).normal(size=(4000, 6))
+    splits = topk.Splits.of(rows[:1000], 16)
+    sizes = np.bincount(splits.shard_of(rows), minlength=16)
+    assert len(sizes) == 16 and sizes.min() > 120 and sizes.max() < 420
+    same = np.ones((500, 3))
+    assert topk.Splits.of(same, 8).shard_of(same).max() == 0
+    mostly = np.concatenate([same, rows[:100, :3]])
+    assert set(topk.Splits.of(mostly, 8).shard_of(same)) != set(range(8)) and len(set(topk.Splits.of(mostly, 8).shard_of(mostly))) > 2
+
+
+def test_too_many_languages(spark):
+    docs = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
+    assert len(language_id.learn(docs, max_languages=5).languages) == 5
+    with pytest.raises(ValueError):
+        language_id.learn(docs, max_languages=4)
+
+
+def brute_mixture(counts, table, weights, rounds):
+    for _ in range(rounds):
+        new = dict.fromkeys(weights, 0.0)
+        for gram, c in counts.items():
+            total = sum(table[gram][k] * w for k, w in weights.items())
+            for k, w in weights.items():
+                new[k] += c * table[gram][k] * w / total
+        weights = {k: x / sum(counts.values()) for k, x in new.items()}
+    fit = sum(c * np.log(sum(table[gram][k] * w for k, w in weights.items())) for gram, c in counts.items())
+    return weights, fit
+
+
+def test_proportions_against_a_loop():
+    """Expectation-maximisation and the selection of languages, text by text in plain Python."""
+    r = random.Random(9)
+    languages = {k: [f"{k}{r.choice('aeiou')}{r.choice('lmnrst')}" for _ in range(30)] for k in ("b", "f", "g", "k")}
+    model = language_id.Model(list(languages), np.zeros((4, language_id.BUCKETS), np.int64))
+    for row, vocabulary in enumerate(languages.values()):
+        _, gram = language_id.trigrams(*buffer_of(pa.array([" ".join(r.choice(vocabulary) for _ in range(400))])))
+        model.counts[row] = np.bincount(gram, minlength=language_id.BUCKETS)
+    texts = [" ".join(r.choice(languages[r.choice(some)]) for _ in range(n)) for n in (3, 20, 80) for some in ("b", "bf", "fgk", "bfgk", "bbbf")]
+    raw, offsets = buffer_of(pa.array(texts))
+    table = model.table()
+    got = language_id.proportions(table, raw, offsets)
+    for t, shares in zip(texts, got, strict=True):
+        _, gram = language_id.trigrams(*buffer_of(pa.array([t])))
+        counts = collections.Counter(gram.tolist())
+        size = sum(counts.values())
+        weights, _ = brute_mixture(counts, table, dict.fromkeys(range(4), 0.25), 10)
+        order = sorted(range(4), key=lambda k: -weights[k])
+        best, value = brute_mixture(counts, table, {order[0]: 1.0}, 0)
+        value -= 2.0 * np.log(size)
+        for s in range(2, 5):
+            start = {k: max(weights[k], 1e-9) for k in order[:s]}
+            now, fit = brute_mixture(counts, table, {k: x / sum(start.values()) for k, x in start.items()}, 10)
+            if fit - 2.0 * s * np.log(size) <= value:
+                break
+            best, value = now, fit - 2.0 * s * np.log(size)
+        assert np.allclose(shares, [best.get(k, 0) for k in range(4)], atol=1e-9), t
+
+
 @pytest.mark.parametrize("run", [lambda s, d: substring_dedup.remove_repeated_windows(s, d), lambda s, d: suffix_dedup.remove_earlier_bytes(s, d), lambda s, d: quality.quality(d), lambda s, d: quality.keep_good(d)])
 def test_empty_tables(spark, docs, run):
     assert run(spark, empty(docs)).count() == 0
