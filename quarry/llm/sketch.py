@@ -63,17 +63,25 @@ def merged(asked: DataFrame, cells: int) -> DataFrame:
     return asked.groupBy("shard").applyInArrow(of_shard, ASK)
 
 
-def estimated_repeated(keys: np.ndarray, all_keys: np.ndarray, told: pa.Table, shards: int, cells: int) -> np.ndarray:
-    """Which keys may occur twice, by what the shards have told the block about the sketch of all its keys."""
-    out = np.ones(len(keys), bool)
-    rows = zip(*(told.column(c).to_pylist() for c in ("kind", "shard", "h1")), strict=True)
-    bits = {(kind, shard): x for kind, shard, x in rows if kind < ROWS}
-    for row in range(ROWS):
-        at = np.unique(cells_of(all_keys, row, shards, cells))
-        shard = (at >> _32).astype(np.int64)
-        first = np.flatnonzero(np.diff(shard, prepend=-1))
-        size = np.diff(np.append(first, len(at)))
-        again = [np.unpackbits(np.frombuffer(bits[row, s], np.uint8), count=n) for s, n in zip(shard[first].tolist(), size.tolist(), strict=True)]
-        if again:
-            out &= np.concatenate(again)[np.searchsorted(at, cells_of(keys, row, shards, cells))] > 0
-    return out
+class Estimates:
+    """What the shards have told a block about the sketch of all its keys."""
+
+    def __init__(self, all_keys: np.ndarray, told: pa.Table, shards: int, cells: int):
+        self.shards, self.cells = shards, cells
+        rows = zip(*(told.column(c).to_pylist() for c in ("kind", "shard", "h1")), strict=True)
+        bits = {(kind, shard): x for kind, shard, x in rows if kind < ROWS}
+        self.rows = []
+        for row in range(ROWS):
+            at = np.unique(cells_of(all_keys, row, shards, cells))
+            shard = (at >> _32).astype(np.int64)
+            first = np.flatnonzero(np.diff(shard, prepend=-1))
+            size = np.diff(np.append(first, len(at)))
+            again = [np.unpackbits(np.frombuffer(bits[row, s], np.uint8), count=n) for s, n in zip(shard[first].tolist(), size.tolist(), strict=True)]
+            self.rows.append((at, np.concatenate([np.zeros(0, np.uint8), *again]) > 0))
+
+    def repeated(self, keys: np.ndarray) -> np.ndarray:
+        """Which of the keys may occur twice."""
+        out = np.ones(len(keys), bool)
+        for row, (at, again) in enumerate(self.rows):
+            out &= again[np.searchsorted(at, cells_of(keys, row, self.shards, self.cells))]
+        return out

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .sketch import ROWS, block_sketch, estimated_repeated, merged
-from .text import _P, _Q, Words, buffer_of, cover, mix, range_hash, sliding, tidy
+from .sketch import ROWS, Estimates, block_sketch, merged
+from .text import _P, _Q, _R, Words, buffer_of, cover, gather, mix, range_hash, sliding, tidy
 
 WINDOW = 35
 BLOCK_BYTES = 4 << 20
@@ -67,14 +67,24 @@ class Block:
 
     def candidates(self, told: pa.Table, shards: int, cells: int):
         """(batch, words, starts and two hashes of the windows that may be repeated) of each chunk."""
-        all_keys = self.keys()
+        estimates = Estimates(self.keys(), told, shards, cells)
         for batch, words, starts, least, _ in self.chunks:
             if len(starts):
                 run = np.flatnonzero(np.diff(least, prepend=~least[0]))
-                keep = np.repeat(estimated_repeated(least[run], all_keys, told, shards, cells), np.diff(np.append(run, len(least))))
-                starts = starts[keep]
-            h1 = mix(range_hash(words.code, starts, starts + self.window, _P))
-            yield batch, words, starts, h1, words.windows2(self.window, starts)
+                starts = starts[np.repeat(estimates.repeated(least[run]), np.diff(np.append(run, len(least))))]
+            yield batch, words, starts, *window_hashes(words, starts, self.window)
+
+
+def window_hashes(words: Words, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each window, by two independent hashes of its words. Other words are not looked at."""
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    inside = np.flatnonzero(cover(starts, window, len(words.start)))
+    at = np.searchsorted(inside, starts)
+    size = (words.end - words.start)[inside]
+    begin = np.cumsum(size) - size
+    second = mix(range_hash(gather(words.raw, words.start[inside], size), begin, begin + size, _R))
+    return mix(range_hash(words.code[inside], at, at + window, _P)), mix(range_hash(second, at, at + window, _Q))
 
 
 def remove_repeated_windows(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, cells: int = CELLS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
