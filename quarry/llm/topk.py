@@ -34,6 +34,7 @@ from .shared import place, written
 from .text import tidied
 
 SHARD_ROWS = 64 << 10
+LEAST_ROWS = 4 << 10  # of a shard, where fewer shards than tasks would do
 MAX_SHARDS = 4096  # that splits tell apart
 SAMPLE = 16 << 10  # vectors of which the splits are the medians
 LEAF = 256
@@ -212,7 +213,8 @@ def quantised_vectors(vectors: DataFrame, id_col: str, vector: str) -> DataFrame
 def dealt(spark: SparkSession, named: DataFrame, shard_rows: int) -> DataFrame:
     """(id, vector, shard) in the shared folder. A shard is named by its vectors' dimension, its place among the splits and a hash where it is too full."""
     n = named.count()
-    wanted = min(MAX_SHARDS, max(1, -(-n // shard_rows)))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(MAX_SHARDS, max(1, -(-n // shard_rows), min(tasks, -(-n // LEAST_ROWS))))
     sample = named.select("vector").orderBy(F.xxhash64("id")).limit(SAMPLE).toArrow().column("vector").combine_chunks() if wanted > 1 else pa.array([], pa.binary())
     splits = {d: Splits.of(rows, wanted) for d, _, rows in _by_dimension(sample)} if len(sample) else {}
 
