@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from quarry.llm import language_id, near_dedup, packing, quality, suffix_dedup
 from quarry.llm.shared import discard, place, temporary, written
@@ -62,16 +58,8 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     other columns stay as they are, but for n_chars.
     """
     others = [c for c in docs.columns if c != "text"]
-    cut = suffix_dedup.remove_earlier_bytes(spark, docs, carry=others)
-    carried = cut.select("kept", *(f"carried_{i}" for i in range(len(others))))
-
-    def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [(b or b"").decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
-            yield pa.record_batch([pa.array(kept, pa.string()), *batch.columns[1:]], names=["text", *batch.schema.names[1:]])
-
-    new = carried.mapInArrow(text, StructType([StructField("text", StringType()), *carried.schema.fields[1:]]))
-    out = new.select("text", *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(others)))
+    cut = suffix_dedup.remove_earlier_bytes(spark, docs, carry=others, as_text=True)
+    out = cut.select(F.col("kept").alias("text"), *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(others)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns).filter("text <> ''")

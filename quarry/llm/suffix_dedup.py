@@ -36,7 +36,7 @@ from .text import _P, _Q, _R, buffer_of, cover, mix, range_hash, sliding, tidy
 WINDOW, GRAM, TRIGGER = 50, 24, 8
 PHRASE_BITS, PARSE_BITS = 7, 5  # a trigger in 2**bits places: of documents, of what is sorted
 CHUNK = 1 << 19
-SORTED_AT_ONCE = 4096  # contexts, more if one anchor has more
+SORTED_AT_ONCE = 4096  # contexts
 BLOCK_BYTES = 4 << 20
 _NONE = np.int64(np.iinfo(np.int64).max)
 OUT = "doc_id long, n_bytes long, n_removed long, kept binary, spans array<struct<start:int,end:int>>"
@@ -90,7 +90,10 @@ class Chunk:
         return np.cumsum(delta[:-1]) > 0
 
     def anchors(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places of the least grams of wanted windows, these grams)."""
+        """(places of the least grams of wanted windows, these grams' names).
+
+        A least hash is a small one and shards are ranges, so a gram's name is its hash mixed once more.
+        """
         span = self.window - GRAM + 1
         n = len(self.raw) - self.window + 1
         if n <= 0:
@@ -102,7 +105,7 @@ class Chunk:
         lined = np.zeros(n + 2 * (span - 1), np.uint64)
         lined[span - 1 : span - 1 + n] = np.where(wanted[:n], least, 0)
         selected = np.flatnonzero((sliding(np.maximum, lined, span) == gram) & (gram > 0))
-        return selected, gram[selected]
+        return selected, mix(gram[selected])
 
 
 def _eight(raw: np.ndarray) -> np.ndarray:
@@ -154,11 +157,15 @@ def contexts(chunk: Chunk, places: np.ndarray, gram: np.ndarray, window: int) ->
     column = np.arange(width)
     text[(column < side - out["left"][:, None]) | (column >= side + GRAM + out["right"][:, None])] = 0
     out["text"] = text
-    h = mix(gram ^ out["left"].astype(np.uint64) * _P ^ out["right"].astype(np.uint64) * _Q)
-    words = np.ascontiguousarray(np.pad(text, ((0, 0), (0, -width % 8)))).view(np.uint64)
+    return out, _row_hash(text, mix(gram ^ out["left"].astype(np.uint64) * _P ^ out["right"].astype(np.uint64) * _Q))
+
+
+def _row_hash(text: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The hashes h with a row of bytes mixed into each."""
+    words = np.ascontiguousarray(np.pad(text, ((0, 0), (0, -text.shape[1] % 8)))).view(np.uint64)
     for i in range(words.shape[1]):
         h = mix(h ^ words[:, i] * _R)
-    return out, h
+    return h
 
 
 def context_type(window: int) -> np.dtype:
@@ -175,14 +182,7 @@ def earlier_windows(window: int) -> X.Decision:
     """Of each context, the windows (a bit each, by how far they begin before the anchor) that a smaller id holds."""
 
     def decision(gram: np.ndarray, h: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mask = np.zeros(len(gram), np.int64)
-        by = np.lexsort((h, gram))
-        edges = np.append(np.flatnonzero(np.diff(gram[by], prepend=~gram[by[:1]])), len(gram))
-        at = 0
-        while at < len(gram):  # contexts with one anchor stay together
-            end = int(edges[max(np.searchsorted(edges, at + SORTED_AT_ONCE, "right") - 1, np.searchsorted(edges, at, "right"))])
-            mask[by[at:end]] = _ordered(entry[by[at:end]], window)
-            at = end
+        mask = _decided(entry, gram, 0, window - GRAM, window)
         tidy()
         chosen = np.flatnonzero(mask)
         return chosen, mask[chosen]
@@ -190,6 +190,59 @@ def earlier_windows(window: int) -> X.Decision:
     return decision
 
 
+def _decided(entry: np.ndarray, key: np.ndarray, low: int, high: int, window: int) -> np.ndarray:
+    """The decision for contexts whose windows begin low to high bytes before the anchor, equal ones under equal keys."""
+    mask = np.zeros(len(key), np.int64)
+    by = np.argsort(key, kind="stable")
+    edges = np.append(np.flatnonzero(np.diff(key[by], prepend=~key[by[:1]])), len(key))
+    at = 0
+    while at < len(key):  # contexts with one key stay together
+        end = int(edges[max(np.searchsorted(edges, at + SORTED_AT_ONCE, "right") - 1, np.searchsorted(edges, at, "right"))])
+        rows = by[at:end]
+        if len(rows) <= SORTED_AT_ONCE:
+            mask[rows] = _ordered(entry[rows], window)
+        elif low < high:
+            mask[rows] = _by_longer_keys(entry[rows], low, high, window)
+        else:
+            mask[rows] = _in_turn(entry[rows], low, window)
+        at = end
+    return mask
+
+
+def _by_longer_keys(entry: np.ndarray, low: int, high: int, window: int) -> np.ndarray:
+    """The decision for too many contexts under one key: half of the windows at a time, which share more bytes than the key's."""
+    side = window - GRAM
+    middle = (low + high) // 2
+    mask = np.zeros(len(entry), np.int64)
+    for a, b in ((low, middle), (middle + 1, high)):
+        left, right = np.minimum(entry["left"], b), np.minimum(entry["right"], side - a)
+        some = np.flatnonzero(left.astype(np.int64) + right >= side)
+        shared = entry["text"][some][:, side - a : window + side - b]  # in each of these windows
+        key = _row_hash(shared, np.zeros(len(some), np.uint64))
+        _, number, count = np.unique(key, return_inverse=True, return_counts=True)
+        several = count[number] > 1
+        some = some[several]
+        part = entry[some]
+        part["left"], part["right"] = left[some], right[some]
+        mask[some] |= _decided(part, key[several], a, b, window)
+    return mask
+
+
+def _in_turn(entry: np.ndarray, back: int, window: int) -> np.ndarray:
+    """The decision for any number of contexts of one window each, smaller ids first: what they begin with stays for the others."""
+    side = window - GRAM
+    mask = np.zeros(len(entry), np.int64)
+    by = np.argsort(entry["id"], kind="stable")
+    first = by[:0]
+    for at in range(0, len(by), SORTED_AT_ONCE):
+        rows = np.concatenate([first, by[at : at + SORTED_AT_ONCE]])
+        mask[rows] = _ordered(entry[rows], window)
+        new = rows[mask[rows] == 0]
+        _, one = np.unique(np.ascontiguousarray(entry["text"][new][:, side - back : side - back + window]), axis=0, return_index=True)
+        first = new[one]
+    return mask
+
+
 def _ordered(entry: np.ndarray, window: int) -> np.ndarray:
     """The decision for some contexts, from the order of the suffixes that begin with a window."""
     side, width = window - GRAM, 2 * window - GRAM
@@ -255,21 +308,28 @@ class Block:
         return out
 
 
-def remove_earlier_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: Sequence[str] = ()) -> DataFrame:
+def remove_earlier_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: Sequence[str] = (), as_text: bool = False) -> DataFrame:
     """Per row: its bytes, the number removed, the kept bytes and the removed byte ranges; then the columns to carry, as carried_0, carried_1, ...
 
     A byte goes if a string of `window` bytes that covers it also starts in a document of smaller id.
     A row's other columns come along, as an id that is null or repeated does not find its row again.
+    as_text: what is kept is a string, without characters of which a byte goes. That is done here, as a
+    step in Python after this one would hold a second worker for each task.
     """
     if not 2 * GRAM <= window < GRAM + 63:
         raise ValueError(f"windows need {2 * GRAM} to {GRAM + 62} bytes")
     n = X.blocks_for(X.text_bytes(docs, text), block_bytes)
     dealt = X.in_blocks(docs, id_col, text, n, carry)
-    types = StructType([*StructType.fromDDL(OUT), *(f for f in dealt.schema if f.name.startswith("carried_"))])
-    schema = pa.schema([*_OUT, *list(to_arrow_schema(types))[len(_OUT) :]])
+    types = StructType([*StructType.fromDDL(OUT.replace("kept binary", "kept string") if as_text else OUT), *(f for f in dealt.schema if f.name.startswith("carried_"))])
+    own = _OUT.set(_OUT.get_field_index("kept"), pa.field("kept", pa.string())) if as_text else _OUT
+    schema = pa.schema([*own, *list(to_arrow_schema(types))[len(own) :]])
+
+    def tidied(asked: pa.Table) -> pa.Table:
+        tidy()
+        return asked
 
     def ask_phrases(table: pa.Table) -> pa.Table:
-        return X.packed(table.column("block")[0].as_py(), n, 0, *Block(table, None, window).phrases())
+        return tidied(X.packed(table.column("block")[0].as_py(), n, 0, *Block(table, None, window).phrases()))
 
     def ask_anchors(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -285,7 +345,7 @@ def remove_earlier_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "do
         gram, id_ = gram[order], id_[order]
         first = np.flatnonzero(np.diff(gram, prepend=~gram[:1]))
         several = np.minimum.reduceat(id_, first) != np.maximum.reduceat(id_, first) if len(first) else np.zeros(0, bool)
-        return X.packed(table.column("block")[0].as_py(), n, 1, gram[first], np.zeros(len(first), np.uint64), several.astype(np.int64))
+        return tidied(X.packed(table.column("block")[0].as_py(), n, 1, gram[first], np.zeros(len(first), np.uint64), several.astype(np.int64)))
 
     def left_over(block: Block) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
         """The candidates by chunk; then of all of the block's contexts, one each: gram, hash, entry with the smallest id."""
@@ -302,7 +362,7 @@ def remove_earlier_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "do
     def ask_windows(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
             return X.empty_ask()
-        return X.packed(table.column("block")[0].as_py(), n, 2, *left_over(Block(table, told, window))[1:])
+        return tidied(X.packed(table.column("block")[0].as_py(), n, 2, *left_over(Block(table, told, window))[1:]))
 
     def finish(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -347,6 +407,8 @@ def _kept(c: Chunk, gone: np.ndarray, schema: pa.Schema) -> pa.Table:
     removed = total[c.offsets[1:]] - total[c.offsets[:-1]]
     ends = (c.offsets - total[c.offsets]).astype(np.int32)
     kept = pa.Array.from_buffers(pa.binary(), n_docs, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(c.raw[~gone].tobytes())])
+    if schema.field("kept").type == pa.string():
+        kept = pa.array([b.decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string())
     border = np.zeros(len(gone) + 1, bool)
     border[c.offsets] = True
     before, after = np.concatenate([[False], gone[:-1]]), np.concatenate([gone[1:], [False]])
